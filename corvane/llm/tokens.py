@@ -84,6 +84,11 @@ def tokenize(texts: list[str | None], drop_other: bool = False) -> TokenBatch:
     kinds = class_table()[cps]
     if drop_other:
         kinds = np.where(kinds == OTHER, SPACE, kinds)
+    return runs(cps, bounds, kinds)
+
+
+def runs(cps: np.ndarray, bounds: np.ndarray, kinds: np.ndarray) -> TokenBatch:
+    """Tokens of classed code points: each run of WORD, each other non-SPACE."""
     n = len(cps)
     if n == 0:
         empty = np.zeros(0, np.int64)
