@@ -168,7 +168,7 @@ def repeated_margins(pages: DataFrame, least: int = 3, share: float = 0.6) -> Da
     """(doc_id, key, times): short first and last two lines that recur on most pages of
     documents of at least three pages.  ``pages``: doc_id, page_number, text.  A line of
     a short page that is among both the first and the last two counts twice."""
-    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), F.trim), lambda l: l != "")
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda l: F.trim(l)), lambda l: l != "")
     rows = pages.select("doc_id", lines.alias("lines"))
     n = F.size("lines")
     edge = F.concat(F.slice("lines", F.lit(1), F.lit(2)), F.slice("lines", F.greatest(n - 1, F.lit(1)), F.lit(2)))

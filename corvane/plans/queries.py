@@ -346,10 +346,10 @@ def markdown_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 _NUM = r"^(?:第\s*[零〇一二两三四五六七八九十百千万亿0-9]+\s*[条款]|(?:article|section|clause)\s+[a-z0-9_.-]+|\d+(?:\.\d+)+)"
 _HEAD = r"^(?:第\s*[零〇一二两三四五六七八九十百千万亿0-9]+\s*[编章节]|#{1,6}\s*|\d+(?:\.\d+)*\s+[a-z\x{3400}-\x{9fff}])"
-_NUM, _HEAD = _NUM.replace(r"\s", sql.BLANK), _HEAD.replace(r"\s", sql.BLANK)
+_NUM, _HEAD = (p.replace(r"\s", sql.BLANK).replace(r"\d", r"\p{Nd}") for p in (_NUM, _HEAD))
 _EXC = "^(?:但是|但书|除非|例外|except|unless)"
 _WARN, _TROUBLE, _PARAM = "^(?:危险|警告|注意|重要|danger|warning|caution|notice)", "^(?:故障|问题|症状|原因|解决方案|troubleshoot|symptom)", "^(?:参数|规格|型号|额定|默认值|取值范围|parameter|specification)"
-_STEP = r"^(?:步骤\s*[零〇一二三四五六七八九十0-9]+|第\s*[零〇一二三四五六七八九十0-9]+\s*步|step\s+\d+|\d+[.)、])".replace(r"\s", sql.BLANK)
+_STEP = r"^(?:步骤\s*[零〇一二三四五六七八九十0-9]+|第\s*[零〇一二三四五六七八九十0-9]+\s*步|step\s+\d+|\d+[.)、])".replace(r"\s", sql.BLANK).replace(r"\d", r"\p{Nd}")
 
 
 @_add(f"""WITH b AS (SELECT unit_id, document_version_id, unit_no, text, CASE s.content_profile WHEN 'regulation' THEN 'r' WHEN 'manual' THEN 'm' WHEN 'technical_doc' THEN 'm' ELSE 'e' END AS p FROM {_U} u JOIN sources s ON s.id = u.source_id),
@@ -376,7 +376,7 @@ def profiled_units(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _STRIPPED = f"regexp_replace(text, '^{sql.BLANK}+|{sql.BLANK}+$', '', 'g')"
-_SECTION, _ARTICLE = (p.replace("(?U)", "").replace(r"\s", sql.BLANK) for p in (structure.SECTION_NUMBER, structure.ARTICLE))
+_SECTION, _ARTICLE = (p.replace("(?U)", "").replace(r"\s", sql.BLANK).replace(r"\d", r"\p{Nd}") for p in (structure.SECTION_NUMBER, structure.ARTICLE))
 _PART = r"^第\s*[零〇一二两三四五六七八九十百千万亿0-9]+\s*[编章节款]".replace(r"\s", sql.BLANK)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 #: White space as the engine sees it.
 BLANK = r"[\s\x{000b}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 CJK = r"\x{3400}-\x{9fff}"
@@ -12,8 +14,9 @@ FORMS = {"℃": "°C", "㎜": "mm", "㎏": "kg", "ﬁ": "fi", "ﬀ": "ff", "ﬂ"
 
 
 def nfkc(x: str) -> str:
-    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
-    narrow = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
+    radicals = [chr(c) for c in range(0x2F00, 0x2FD6)]
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "".join(radicals)
+    narrow = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''") + "".join(unicodedata.normalize("NFKC", r) for r in radicals)
     out = f"translate({x}, '{wide}　     ｡､', '{narrow}      。、')"
     for a, b in FORMS.items():
         out = f"replace({out}, '{a}', '{b}')"
