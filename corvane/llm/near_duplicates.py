@@ -38,12 +38,15 @@ from corvane.llm.tokens import mix64, shingle_hashes, tokenize
 
 SKETCH_BITS = 20
 FILTER_BITS = 23
-BITMAP_WORDS = 4
-SUBSET_WORDS = 2
+#: Sets of up to CLASS_SIZE elements carry bitmaps of 4 words; the size doubles with each
+#: further class, and bitmaps grow so that those of large sets do not fill up.
+CLASS_SIZE = 512
+SUBSET_WORDS = 4
+SUBSETS = -1
 SUB_BATCH = 1000
 TESTS_AT_ONCE = 400_000
 #: Cost of one emitted list entry or subset key, in pair tests.
-ENTRY_COST, KEY_COST = 50, 45
+ENTRY_COST, KEY_COST = 50, 50
 _SALT = np.uint64(0x5851F42D4C957F2D)
 _ODD = np.uint64(0x2545F4914F6CDD1D)
 
@@ -57,6 +60,12 @@ class JoinParameters:
     list_block: int
 
 
+def bitmap_words(k: int) -> int:
+    """Words of the bitmaps of a class: enough bits for twice the differences that two
+    sets of its size may have after an average first common place."""
+    return 4 if k == 0 else max(6, (CLASS_SIZE << k) * 5 // 1024)
+
+
 def _share(size: np.ndarray, t: Fraction) -> np.ndarray:
     """ceil(t * size) in integers."""
     return -((-size * t.numerator) // t.denominator)
@@ -174,8 +183,6 @@ def _blobs(kind: int, bucket: np.ndarray, **arrays: np.ndarray) -> Iterator[pa.R
 
 
 def _entries(par: JoinParameters, log_counts):
-    t = par.threshold
-
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = log_counts.value
         for sids, texts, salts in _distinct(batches):
@@ -188,24 +195,46 @@ def _entries(par: JoinParameters, log_counts):
             rank = logs[(elements & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
             order = np.lexsort((elements, rank, owner))
             elements, rank = elements[order], rank[order]
-            pos = np.arange(len(elements)) - ends[:-1][owner]
-            size = n[owner]
-            prefix = size - _share(size, t) + 1
-            yield from _list_entries(par, sids, owner, elements, rank, pos, size, prefix, ends)
+            yield from _list_entries(par, sids, elements, rank, ends)
             if par.boundary:
                 yield from _subset_keys(par, sids, elements, rank, n, ends)
 
     return emit
 
 
-def _list_entries(par, sids, owner, elements, rank, pos, size, prefix, ends) -> Iterator[pa.RecordBatch]:
+def _list_entries(par, sids, elements, rank, ends) -> Iterator[pa.RecordBatch]:
+    largest, k = int(np.diff(ends).max()), 0
+    while True:
+        # a pair is joined in the class of its larger set
+        least = 0 if k == 0 else int(_share(np.int64((CLASS_SIZE << (k - 1)) + 1), par.threshold))
+        sets = np.flatnonzero((np.diff(ends) >= max(1, least)) & (np.diff(ends) <= CLASS_SIZE << k))
+        if len(sets):
+            yield from _class_entries(par, k, sets, sids, elements, rank, ends)
+        if CLASS_SIZE << k >= largest:
+            break
+        k += 1
+
+
+def _class_entries(par, k, sets, sids, elements, rank, ends) -> Iterator[pa.RecordBatch]:
+    sizes = np.diff(ends)[sets]
+    own_ends = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.arange(own_ends[-1]) - np.repeat(own_ends[:-1] - ends[:-1][sets], sizes)
+    elements, rank = elements[at], rank[at]
+    owner, size = np.repeat(np.arange(len(sets)), sizes), np.repeat(sizes, sizes)
+    pos = np.arange(len(elements)) - own_ends[:-1][owner]
     listed = size >= _share(np.int64(par.boundary + 1), par.threshold)
+    prefix = size - _share(size, par.threshold) + 1
+    if k:
+        # sets of the class below only meet sets that are larger than it
+        below = CLASS_SIZE << (k - 1)
+        prefix = np.where(size <= below, size - _needed(size + below + 1, par.threshold) + 1, prefix)
     keep = np.flatnonzero((pos < prefix) & (rank > 0) & listed)
     if not len(keep):
         return
-    bits = _parity(elements, BITMAP_WORDS)
+    sids, ends, words = sids[sets], own_ends, bitmap_words(k)
+    bits = _parity(elements, words)
     after = np.bitwise_xor.accumulate(bits[::-1], axis=0)[::-1]
-    after = np.concatenate([after, np.zeros((1, BITMAP_WORDS), np.uint64)])
+    after = np.concatenate([after, np.zeros((1, words), np.uint64)])
     own = owner[keep]
     bitmap = after[keep] ^ after[ends[1:][own]]
     element = elements[keep]
@@ -223,7 +252,7 @@ def _list_entries(par, sids, owner, elements, rank, pos, size, prefix, ends) ->
         keep, own, bitmap = keep[src], own[src], bitmap[src]
     bucket = ((element >> np.uint64(33)) % np.uint64(par.buckets)).astype(np.int64)
     yield from _blobs(
-        0, bucket, h=(element & np.uint64(0xFFFFFFFF)).astype("<u4"), sid=sids[own].astype("<i8"), n=size[keep].astype("<u4"), pos=pos[keep].astype("<u4"), side=side, bits=bitmap.astype("<u8")
+        k, bucket, h=(element & np.uint64(0xFFFFFFFF)).astype("<u4"), sid=sids[own].astype("<i8"), n=size[keep].astype("<u4"), pos=pos[keep].astype("<u4"), side=side, bits=bitmap.astype("<u8")
     )
 
 
@@ -246,7 +275,7 @@ def _subset_keys(par, sids, elements, rank, n, ends) -> Iterator[pa.RecordBatch]
     if keys:
         key, who = np.concatenate(keys), np.concatenate(own)
         bucket = ((key >> np.uint64(33)) % np.uint64(par.buckets)).astype(np.int64)
-        yield from _blobs(1, bucket, h=(key & np.uint64(0xFFFFFFFF)).astype("<u4"), sid=sids[who].astype("<i8"), n=n[who].astype("<u4"), bits=np.concatenate(bits).astype("<u8"))
+        yield from _blobs(SUBSETS, bucket, h=(key & np.uint64(0xFFFFFFFF)).astype("<u4"), sid=sids[who].astype("<i8"), n=n[who].astype("<u4"), bits=np.concatenate(bits).astype("<u8"))
 
 
 def _read(blobs: list[bytes], widths: list[tuple[str, int, int]]) -> list[np.ndarray]:
@@ -262,7 +291,7 @@ def _read(blobs: list[bytes], widths: list[tuple[str, int, int]]) -> list[np.nda
     return [np.concatenate(x) for x in out]
 
 
-_LIST = [("<u4", 4, 1), ("<i8", 8, 1), ("<u4", 4, 1), ("<u4", 4, 1), ("u1", 1, 1), ("<u8", 8 * BITMAP_WORDS, BITMAP_WORDS)]
+_LIST = [("<u4", 4, 1), ("<i8", 8, 1), ("<u4", 4, 1), ("<u4", 4, 1), ("u1", 1, 1)]
 _SUBSET = [("<u4", 4, 1), ("<i8", 8, 1), ("<u4", 4, 1), ("<u8", 8 * SUBSET_WORDS, SUBSET_WORDS)]
 
 
@@ -280,14 +309,15 @@ def _pairs_within(ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         a = b
 
 
-def _in_lists(par: JoinParameters, blobs: list[bytes], subsets: bool) -> np.ndarray:
-    """Distinct candidate pairs (two set ids per row) of one bucket."""
-    t = par.threshold
+def _in_lists(par: JoinParameters, blobs: list[bytes], kind: int) -> np.ndarray:
+    """Distinct candidate pairs (two set ids per row) of one bucket and class."""
+    t, subsets = par.threshold, kind == SUBSETS
     if subsets:
         h, sid, n, bits = _read(blobs, _SUBSET)
         side, pos = np.full(len(h), 2, np.uint8), np.zeros(len(h), np.int64)
     else:
-        h, sid, n, pos, side, bits = _read(blobs, _LIST)
+        words = bitmap_words(kind)
+        h, sid, n, pos, side, bits = _read(blobs, [*_LIST, ("<u8", 8 * words, words)])
     n, pos = n.astype(np.int64), pos.astype(np.int64)
     order = np.lexsort((side, sid, n, h))
     h, sid, n, pos, side, bits = h[order], sid[order], n[order], pos[order], side[order], bits[order]
@@ -308,7 +338,7 @@ def _in_lists(par: JoinParameters, blobs: list[bytes], subsets: bool) -> np.ndar
         ok = (sid[i] != sid[j]) & (n[i] * t.denominator >= n[j] * t.numerator)
         ok &= (side[i] == 2) & (side[j] == 2) | (side[i] + side[j] == 1)
         if not subsets:
-            ok &= np.maximum(n[i], n[j]) > par.boundary
+            ok &= np.maximum(n[i], n[j]) > max(par.boundary, CLASS_SIZE << (kind - 1) if kind else 0)
             ok &= 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= need
         i, j, allowed = i[ok], j[ok], (both - 2 * need - pos[i] - pos[j])[ok]
         ok = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1) <= allowed
@@ -326,7 +356,7 @@ def _meet(par: JoinParameters):
                 held.setdefault((bucket, kind), []).append(blob)
         while held:
             (_, kind), blobs = held.popitem()
-            pairs = _in_lists(par, blobs, kind == 1)
+            pairs = _in_lists(par, blobs, kind)
             if len(pairs):
                 yield pa.RecordBatch.from_pydict({"sid_a": pa.array(pairs[:, 0], pa.int64()), "sid_b": pa.array(pairs[:, 1], pa.int64())})
 
