@@ -39,7 +39,8 @@ def diff_snapshots(records: DataFrame, numbers: DataFrame, snapshot: str, collec
     yield nothing; a null collection is a collection of its own.
     """
     keys = ["_c", "record_kind", "record_id"]
-    rows = records.join(numbers.withColumnRenamed(collection, "_c"), snapshot)
+    order = numbers.select(snapshot, F.col(collection).alias("_c"), "seq", "last", "next_snapshot")
+    rows = records.select(snapshot, "record_kind", "record_id", "value").join(order, snapshot)
     ranged = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *keys)
     # ranges over the whole key satisfy the window's clustering: no second exchange
     w = Window.partitionBy(*keys).orderBy("seq")

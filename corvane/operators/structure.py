@@ -154,7 +154,7 @@ def locate_chunks(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
     last_block).  ``chunks``: doc_id, chunk_id, start_offset, end_offset.  The range join
     runs inside a document, on its id."""
     b = blocks.select("doc_id", "block_no", F.col("start_offset").alias("s"), F.col("end_offset").alias("e"))
-    hit = chunks.join(b, "doc_id").where("start_offset < e AND end_offset > s")
+    hit = chunks.select("doc_id", "chunk_id", "start_offset", "end_offset").join(b, "doc_id").where("start_offset < e AND end_offset > s")
     return hit.groupBy("doc_id", "chunk_id").agg(F.count("*").alias("blocks"), F.min("block_no").alias("first_block"), F.max("block_no").alias("last_block"))
 
 

@@ -14,7 +14,7 @@ ENCODINGS = ("utf-8-sig", "utf-16", "gb18030")
 
 def scan_files(spark: SparkSession, path: str, pattern: str = "*.{txt,md,pdf}") -> DataFrame:
     """(path, filename, suffix, media_type, length, content) of the matching files; content
-    is only read when used."""
+    is only read when used.  Files of no bytes are not listed: Spark's file scan skips them."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     suffix = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
