@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.storage import shuffle_partitions
 from corvane.llm.sketches import collect_counts, pieces
 from corvane.llm.tokens import code_points, mix64
 
@@ -493,7 +494,9 @@ def repair_scans(ocr_results: DataFrame, units: DataFrame) -> DataFrame:
     pages = once.select(F.explode("blocks").alias("b")).select(F.col("b.text").alias("text"))
     sketch = units.sparkSession.sparkContext.broadcast(language_model(units.where("text not like '%\n%'").select("text"), pages))
     names = ["origin", "row_id", "repaired", "faults"]
-    return scanned_rows(ocr_results, units).mapInArrow(_analyse(sketch, names), "origin string, row_id string, repaired string, faults array<struct<page_number:int,line_no:int,fault:string>>")
+    # decoding is work for the CPU, not for the shuffle: keep all tasks busy however few bytes
+    rows = scanned_rows(ocr_results, units).repartition(shuffle_partitions(units.sparkSession), "row_id")
+    return rows.mapInArrow(_analyse(sketch, names), "origin string, row_id string, repaired string, faults array<struct<page_number:int,line_no:int,fault:string>>")
 
 
 def found_faults(repairs: DataFrame) -> DataFrame:

@@ -113,7 +113,7 @@ def split_oversized(items: DataFrame, keep: list[str]) -> DataFrame:
 def unit_pieces(units: DataFrame, sources: DataFrame, limits: DataFrame) -> DataFrame:
     """Pieces of units under the limit of their source's content profile, each with
     the unit's heading_path.  A unit delivered again counts once (latest loaded)."""
-    profile = sources.select(F.col("id").alias("source_id"), "content_profile").join(F.broadcast(limits), "content_profile", "left")
+    profile = sources.select(F.col("id").alias("source_id"), "content_profile").join(limits.select("content_profile", "max_tokens", "overlap_tokens"), "content_profile", "left")
     profile = profile.dropDuplicates(["source_id"])
     once = (
         units.where(F.col("unit_id").isNotNull())
