@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import content_terms, exact_anchors, normal, spaced
@@ -148,3 +148,40 @@ def rewrite_drift(left: Column, right: Column) -> Column:
     """1 - Jaccard similarity of the content terms; 0 for two texts without terms."""
     a, b = content_terms(normal(left)), content_terms(normal(right))
     return F.coalesce(1.0 - F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b))), F.lit(0.0))
+
+
+def verify_citations(answers: DataFrame, cited: DataFrame) -> DataFrame:
+    """(answer_id, verdict): the first fault of an answer (answer_id, text) against its evidence
+    (answer_id, label, text, allowed, live): no_citation, unknown_label, then by claim
+    uncited_claim, not_authorised, not_live, unsupported; valid when there is none.
+    Claims without content terms are passed over."""
+    stated = claims(answers).withColumn("terms", F.size(content_terms(normal(F.col("claim"))))).withColumn("labels", F.array_distinct("labels"))
+    split = stated.select("answer_id", "claim_no", "claim", "terms", F.explode_outer("labels").alias("label"))
+    seen = split.join(cited.select("answer_id", "label", F.col("text").alias("passage"), "allowed", "live"), ["answer_id", "label"], "left")
+    by_claim = seen.groupBy("answer_id", "claim_no", "claim", "terms").agg(
+        F.count("label").alias("labels"), F.count_if(F.col("label").isNotNull() & F.col("passage").isNull()).alias("unknown"), F.count_if(~F.coalesce("allowed", F.lit(True))).alias("closed"),
+        F.count_if(~F.coalesce("live", F.lit(True))).alias("dead"), F.array_join(F.array_sort(F.collect_list("passage")), "\n").alias("passage"),
+    )
+    fault = F.when(F.col("labels") == 0, "uncited_claim").when(F.col("closed") > 0, "not_authorised").when(F.col("dead") > 0, "not_live").when(claim_support(F.col("claim"), F.col("passage")) != "supported", "unsupported")
+    judged = by_claim.withColumn("fault", F.when(F.col("terms") > 0, fault))
+    total = judged.groupBy("answer_id").agg(F.sum("labels").alias("labels"), F.sum("unknown").alias("unknown"), F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("claim_no"))).alias("fault"))
+    verdict = F.when(F.coalesce("labels", F.lit(0)) == 0, "no_citation").when(F.col("unknown") > 0, "unknown_label").otherwise(F.coalesce("fault", F.lit("valid")))
+    return answers.select("answer_id").join(total, "answer_id", "left").select("answer_id", verdict.alias("verdict"))
+
+
+def support_excerpt(passage: Column, terms: Column, most: int = 280) -> Column:
+    """The window of at most ``most`` characters, opened a third before a term's first place,
+    that holds most terms (the earliest on ties); marks show what is cut off."""
+    text = F.regexp_replace(passage, r"\s+", " ")
+    starts = F.array_sort(F.array_distinct(F.transform(F.filter(terms, lambda t: F.contains(F.lower(text), t)), lambda t: F.greatest(F.lit(1), F.position(t, F.lower(text)) - most // 3))))
+    scored = F.transform(F.when(F.size(starts) > 0, starts).otherwise(F.array(F.lit(1))), lambda s: F.struct((-F.size(F.filter(terms, lambda t: F.contains(F.lower(F.substring(text, s, F.lit(most))), t)))).alias("m"), s.alias("s")))
+    best = F.array_min(scored)["s"]
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.when(best > 1, "…").otherwise(""), F.substring(text, best, F.lit(most)), F.when(best + most <= F.length(text), "…").otherwise("")))
+
+
+def context_blocks(contexts: DataFrame) -> DataFrame:
+    """(query_id, blocks, context): kept contexts (query_id, rank, text, kept) labelled [C1]..
+    in order and joined; a selection's few rows per query."""
+    n = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    rows = contexts.where("kept").withColumn("n", n).select("query_id", F.struct("n", F.concat(F.lit("[C"), F.col("n"), F.lit("]\n"), F.col("text")).alias("t")).alias("b"))
+    return rows.groupBy("query_id").agg(F.count("*").alias("blocks"), F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["t"]), "\n\n").alias("context"))

@@ -69,3 +69,30 @@ def compare_reports(baseline: DataFrame, candidate: DataFrame, gates: DataFrame)
 def observation_series(rows: DataFrame, name: str, value: str) -> DataFrame:
     """(name, observations, total, mean, least, most) of a value per series."""
     return rows.groupBy(name).agg(F.count(value).alias("observations"), F.round(F.sum(value), 4).alias("total"), F.round(F.avg(value), 4).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+
+
+def citation_metrics(rows: DataFrame, key: str) -> DataFrame:
+    """(key, precision, recall, completeness) of rows (cited, relevant arrays, claims,
+    cited_claims counts); completeness is the share of claims with a citation, at most 1."""
+    complete = F.coalesce(F.least(F.lit(1.0), F.try_divide(F.col("cited_claims").cast("double"), F.col("claims"))), F.lit(1.0))
+    return rows.select(key, F.round(set_precision(F.col("cited"), F.col("relevant")), 6).alias("precision"), F.round(set_recall(F.col("cited"), F.col("relevant")), 6).alias("recall"), F.round(complete, 6).alias("completeness"))
+
+
+def run_report(rows: DataFrame, measures: list[str]) -> DataFrame:
+    """(metric, value, examples): the mean of every measure over the rows that have it."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in measures])).alias("p")
+    return rows.select(pairs).select("p.metric", "p.v").groupBy("metric").agg(F.round(F.avg("v"), 6).alias("value"), F.count("v").alias("examples"))
+
+
+def chunk_report(chunks: DataFrame, most: int) -> DataFrame:
+    """One row on a set of chunks: leaves, oversized, with_heading and duplicate ratios, and
+    the share of leaves with a parent that exists."""
+    leaves = chunks.where("chunk_level = 'leaf'")
+    parents = chunks.where("chunk_level = 'parent'").select(F.col("id").alias("p")).distinct()
+    rows = leaves.join(parents, F.col("parent_chunk_id") == F.col("p"), "left")
+    n = F.count("*")
+    ratio = lambda c: F.round(F.coalesce(F.try_divide(c.cast("double"), n), F.lit(0.0)), 6)
+    return rows.agg(
+        n.alias("leaves"), F.count_if(F.col("token_count") > most).alias("oversized"), ratio(F.count_if(F.size("heading_path") > 0)).alias("heading_ratio"),
+        ratio(n - F.countDistinct(F.coalesce("text", F.lit("")))).alias("duplicate_ratio"), ratio(F.count_if(F.col("parent_chunk_id").isNull() | F.col("p").isNotNull())).alias("parent_integrity"),
+    )

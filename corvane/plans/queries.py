@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import ids, text
-from corvane.operators import catalog, chunking, dense, evidence, lexical, metrics, ranking, snapshots, structure
+from corvane.operators import catalog, chunking, dense, evidence, index_text, lexical, metrics, ranking, snapshots, structure
 from corvane.plans import sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -604,6 +604,85 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return snapshots.manifest_changes(_read(spark, folder, "manifests"))
 
 
+# -- index texts and reports --------------------------------------------------
+
+
+@_add()
+def index_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return index_text.index_texts(_leaves(spark, folder))
+
+
+@_add(f"WITH g AS (SELECT document_version_id, arg_min(heading_path[len(heading_path)], (ordinal, id)) FILTER (len(heading_path) > 0 AND heading_path[len(heading_path)] IS NOT NULL) AS h, count(*) AS chunks, sum(coalesce(token_count, 0))::BIGINT AS tokens FROM {_C} GROUP BY 1) SELECT document_version_id, coalesce(h, regexp_replace(original_filename, '\\.[^.]*$', '')) AS title, chunks, tokens FROM g LEFT JOIN document_versions v ON v.id = document_version_id")
+def document_titles(spark: SparkSession, folder: str) -> DataFrame:
+    return index_text.document_titles(_chunks(spark, folder), _read(spark, folder, "document_versions"))
+
+
+@_add(f"SELECT document_version_id, coalesce(min(page_number), 0) AS first_page, coalesce(max(page_number), 0) AS last_page, count(*) AS units, CASE WHEN min(hard_boundary_key) = max(hard_boundary_key) AND count(hard_boundary_key) = count(*) THEN min(hard_boundary_key) END AS boundary FROM {_U} GROUP BY 1")
+def version_spans(spark: SparkSession, folder: str) -> DataFrame:
+    got = index_text.merged_locators(_units(spark, folder), "document_version_id").drop("common_path")
+    return got.withColumn("first_page", F.coalesce("first_page", F.lit(0))).withColumn("last_page", F.coalesce("last_page", F.lit(0)))
+
+
+@_add("SELECT document_version_id, code, min(ordinal) AS first_ordinal FROM (SELECT document_version_id, ordinal, trim(unnest(string_split(boundary_reason, ','))) AS code FROM chunks) WHERE code <> '' GROUP BY ALL")
+def degradation_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return index_text.degradation_codes(_read(spark, folder, "chunks"), "document_version_id", "boundary_reason")
+
+
+@_add("SELECT string_agg(v, '+' ORDER BY v) AS chunker_version FROM (SELECT DISTINCT chunker_version AS v FROM chunks)")
+def population_version(spark: SparkSession, folder: str) -> DataFrame:
+    return index_text.population_version(_read(spark, folder, "chunks"))
+
+
+@_add(f"WITH x AS (SELECT DISTINCT document_version_id, left(coalesce(nullif(retrieval_text, ''), text), 12) AS p, text FROM {_L} WHERE length(coalesce(nullif(retrieval_text, ''), text)) >= 12) SELECT document_version_id, count(*) AS bodies FROM x GROUP BY document_version_id, p HAVING count(*) >= 2")
+def shared_prefixes(spark: SparkSession, folder: str) -> DataFrame:
+    return index_text.shared_prefixes(_leaves(spark, folder), 12, 2).select("document_version_id", "bodies")
+
+
+@_add(f"WITH l AS {_L}, p AS (SELECT id FROM {_C} WHERE chunk_level = 'parent') SELECT count(*) AS leaves, count(*) FILTER (token_count > 400) AS oversized, round(count(*) FILTER (len(heading_path) > 0) / count(*)::DOUBLE, 6) AS heading_ratio, round((count(*) - count(DISTINCT coalesce(text, ''))) / count(*)::DOUBLE, 6) AS duplicate_ratio, round(count(*) FILTER (parent_chunk_id IS NULL OR parent_chunk_id IN (SELECT id FROM p)) / count(*)::DOUBLE, 6) AS parent_integrity FROM l")
+def chunk_report(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.chunk_report(_chunks(spark, folder), 400)
+
+
+@_add(f"""WITH b AS ({_SQL['bm25_top30']}), l AS {_L}, c AS (SELECT query_id, list(DISTINCT source_id) AS cited FROM b JOIN l ON l.id = b.id WHERE rank <= 3 GROUP BY 1), r AS (SELECT item_id, coalesce(cited, []) AS c, list_distinct(expected_source_ids) AS e FROM eval_items LEFT JOIN c ON query_id = item_id)
+SELECT item_id, round(CASE WHEN len(c) > 0 THEN len(list_intersect(c, e)) / len(c)::DOUBLE WHEN len(e) = 0 THEN 1.0 ELSE 0.0 END, 6) AS precision, round(CASE WHEN len(e) > 0 THEN len(list_intersect(c, e)) / len(e)::DOUBLE ELSE 1.0 END, 6) AS recall, 1.0::DOUBLE AS completeness FROM r""")
+def citation_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    hits = bm25_top30(spark, folder).where("rank <= 3").join(_leaves(spark, folder).select("id", "source_id"), "id").groupBy(F.col("query_id").alias("item_id")).agg(F.collect_set("source_id").alias("cited"))
+    rows = _read(spark, folder, "eval_items").select("item_id", F.col("expected_source_ids").alias("relevant")).join(hits, "item_id", "left")
+    rows = rows.select("item_id", "relevant", F.coalesce("cited", F.array().cast("array<string>")).alias("cited"), F.lit(3).alias("claims"), F.lit(3).alias("cited_claims"))
+    return metrics.citation_metrics(rows, "item_id")
+
+
+@_add(f"WITH m AS ({_SQL['retrieval_metrics']}) SELECT 'hit' AS metric, round(avg(hit), 6) AS value, count(hit) AS examples FROM m UNION ALL SELECT 'recall', round(avg(recall), 6), count(recall) FROM m UNION ALL SELECT 'reciprocal_rank', round(avg(reciprocal_rank), 6), count(reciprocal_rank) FROM m UNION ALL SELECT 'ndcg', round(avg(ndcg), 6), count(ndcg) FROM m")
+def run_report(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.run_report(retrieval_metrics(spark, folder), ["hit", "recall", "reciprocal_rank", "ndcg"])
+
+
+@_add()
+def citation_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    items = _read(spark, folder, "eval_items").where("reference_answer is not null")
+    answers = items.select(F.col("item_id").alias("answer_id"), F.concat(F.regexp_replace("reference_answer", r"[。.]$", ""), F.lit("[C1]。")).alias("text"))
+    cited = items.select(F.col("item_id").alias("answer_id"), F.lit(1).alias("label"), F.col("passage").alias("text"), F.lit(True).alias("allowed"), F.lit(True).alias("live"))
+    return evidence.verify_citations(answers, cited)
+
+
+@_add()
+def support_excerpts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _read(spark, folder, "eval_items").where("passage is not null").select("item_id", "passage", text.content_terms(text.normal(F.col("query"))).alias("terms"))
+    return rows.select("item_id", evidence.support_excerpt(F.col("passage"), F.col("terms")).alias("excerpt"))
+
+
+@_add()
+def context_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    kept = ranking.select_diverse(_selection(spark, folder)).where("outcome = 'selected'").join(ranking.expand_context(_leaves(spark, folder), _read(spark, folder, "chunks")), "id")
+    charged = ranking.charge_contexts(kept).select("query_id", "id", "kept")
+    return evidence.context_blocks(kept.join(charged, ["query_id", "id"]))
+
+
+@_add(f"SELECT id, tenant_id, source_id FROM {_C} WHERE tenant_id = 'tenant-metro' AND source_id IN ('src-metro-signal', 'src-cold-chain')")
+def scope_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return catalog.in_scope(_chunks(spark, folder), F.lit("tenant-metro"), F.array(F.lit("src-metro-signal"), F.lit("src-cold-chain"))).select("id", "tenant_id", "source_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
