@@ -482,9 +482,19 @@ def intent_router(spark: SparkSession, folder: str) -> DataFrame:
     return _plans(spark, folder).select("query_id", evidence.request_kind(F.col("query")).alias("request"), evidence.intent(F.col("query")).alias("intent"))
 
 
-@_add()
+_PLAIN = f"trim(regexp_replace(query, '{sql.BLANK}+', ' ', 'g'))"
+_CORE = f"regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(q, '{evidence.NAMED_SOURCE}', ''), '{evidence.FORMAT_PHRASE}', ' ', 'g'), '{sql.BLANK}+', ' ', 'g')), '^[ ，,;；。]+|[ ，,;；。]+$', '', 'g')"
+
+
+@_add(f"SELECT query_id, coalesce(nullif({_CORE}, ''), trim(query)) AS core_query, coalesce(regexp_extract(q, '{evidence.NAMED_SOURCE}', 1), '') AS source_hint FROM (SELECT query_id, query, {_PLAIN} AS q FROM {_PLANS})")
 def query_features(spark: SparkSession, folder: str) -> DataFrame:
-    return _plans(spark, folder).select("query_id", evidence.query_features(F.col("query")).alias("f"), evidence.need_parts(F.col("query")).alias("needs")).select("query_id", "f.core_query", "f.source_hint", F.size("needs").alias("needs"))
+    got = _plans(spark, folder).select("query_id", evidence.query_features(F.col("query")).alias("f"))
+    return got.select("query_id", "f.core_query", F.coalesce("f.source_hint", F.lit("")).alias("source_hint"))
+
+
+@_add()
+def need_parts(spark: SparkSession, folder: str) -> DataFrame:
+    return _plans(spark, folder).select("query_id", F.posexplode(evidence.need_parts(F.col("query"))).alias("need_no", "need"))
 
 
 @_add(f"SELECT query_id, unnest({sql.anchors('n')}) AS anchor FROM (SELECT query_id, {sql.normal('query')} AS n FROM {_PLANS})")
@@ -502,9 +512,13 @@ def semantic_signals(spark: SparkSession, folder: str) -> DataFrame:
     return _leaves(spark, folder).select("id", F.array_join(evidence.all_of(t, evidence.TEMPORAL), ",").alias("times"), F.array_join(evidence.all_of(t, evidence.MODALITY), ",").alias("modalities"), F.array_join(evidence.entities(t), ",").alias("entities"))
 
 
-@_add()
+_SUBJECT = "CASE " + " ".join(f"WHEN contains(s, '{e}') THEN '{e}'" for e in evidence.ENTITIES) + " ELSE '' END"
+_LEADING = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(s, '{c}')" for c in cues) + f" THEN '{n}'" for n, cues in evidence.MODALITY.items()) + " ELSE 'fact' END"
+
+
+@_add(f"SELECT id, s AS sentence, {_SUBJECT} AS subject, {_LEADING} AS modality, array_to_string({_cases('s', evidence.TEMPORAL)}, ',') AS temporal FROM (SELECT id, trim(unnest(regexp_extract_all(text, '[^。！？!?；;\\n]+[。！？!?；;]?'))) AS s FROM {_L}) WHERE s <> ''")
 def propositions(spark: SparkSession, folder: str) -> DataFrame:
-    return evidence.propositions(_leaves(spark, folder).select("id", "text"))
+    return evidence.propositions(_leaves(spark, folder).select("id", "text")).select("id", "sentence", F.coalesce("subject", F.lit("")).alias("subject"), "modality", "temporal")
 
 
 _TOP10 = f"b AS ({_SQL['bm25_top30']}), t AS (SELECT query_id, id FROM b WHERE rank <= 5)"
