@@ -370,7 +370,16 @@ def _profiled(spark: SparkSession, folder: str) -> DataFrame:
     return structure.profile_units(_units(spark, folder).join(s, "source_id"))
 
 
-@_add()
+_RULED = [(p, k, x, keep) for p, rules in structure.UNIT_RULES.items() for k, x, keep in rules]
+_STRIP_U = f"regexp_replace(text, '^{sql.BLANK}+|{sql.BLANK}+$', '', 'g')"
+_ART, _PRT = (x.replace("(?U)", "").replace(r"\s", sql.BLANK) for x in (structure.ARTICLE, structure.PART))
+_KIND = "CASE " + " ".join(f"WHEN cp = '{p}' AND regexp_matches(t, '{x}') THEN '{k}'" for p, k, x, _ in _RULED) + f" WHEN cp = 'regulation' AND regexp_matches(t, '{_PRT}') THEN 'heading' WHEN cp = 'regulation' AND regexp_matches(t, '{_ART}') THEN 'numbered_clause' WHEN cp = 'regulation' AND regexp_matches(t, '{structure.SUB_CLAUSE}') THEN 'sub_clause' ELSE kind END"
+_KEEP = "CASE " + " ".join(f"WHEN cp = '{p}' AND regexp_matches(t, '{x}') THEN {'true' if keep else 'coalesce(protected, false)'}" for p, _, x, keep in _RULED) + f" WHEN cp = 'regulation' AND (regexp_matches(t, '{_PRT}') OR regexp_matches(t, '{_ART}')) THEN true ELSE coalesce(protected, false) END"
+
+
+@_add(f"""WITH a AS (SELECT u.*, s.content_profile AS cp, {_STRIP_U} AS t FROM {_U} u JOIN sources s ON s.id = u.source_id),
+o AS (SELECT *, CASE WHEN regexp_matches(t, '{_PRT}') THEN '' WHEN regexp_matches(t, '{_ART}') THEN 'article:' || regexp_replace(regexp_extract(t, '{_ART}'), '\\s+', '', 'g') END AS op FROM a)
+SELECT unit_id, {_KIND} AS unit_kind, {_KEEP} AS unit_protected, CASE WHEN cp = 'regulation' THEN coalesce(nullif(last_value(op IGNORE NULLS) OVER (PARTITION BY document_version_id ORDER BY unit_no, unit_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), ''), hard_boundary_key) ELSE hard_boundary_key END AS article_key FROM o""")
 def profiled_units(spark: SparkSession, folder: str) -> DataFrame:
     return _profiled(spark, folder).select("unit_id", "unit_kind", "unit_protected", "article_key")
 
