@@ -48,6 +48,8 @@ _FOLIO = re.compile(
 )
 _ENDED = re.compile(r"[。！？.!?；;：:][\"'”’」）)]*\s*$")
 _PROSE = re.compile(r"[，。；]|[a-zß-ÿ]{2}[,;.:](?:\s|$)|[,;]\s*$")
+# a code and its revision at the beginning of a line: the point of "Rev." ends no sentence
+_REVISION = re.compile(r"\s*" + _CODE.pattern + r"\s*Rev\.\s*[A-Z](?=\s|$)")
 MARGIN, HYPHEN, MISREAD = "margin", "hyphen", "misread"
 
 
@@ -246,7 +248,7 @@ class Decoder:
         return self.is_margin_form(line.text, "b") or self.is_margin_form(line.text, "t")
 
     def is_margin_form(self, text: str, place: str) -> bool:
-        return len(text.strip()) <= 60 and not _PROSE.search(text) and self.edge_share(text, place) >= 0.7
+        return len(text.strip()) <= 60 and not _PROSE.search(text[m.end() :] if (m := _REVISION.match(text)) else text) and self.edge_share(text, place) >= 0.7
 
     def mark_inner_margins(self, lines: list[Line]) -> None:
         """Margins inside a running text: known forms, and page numbers beside them or

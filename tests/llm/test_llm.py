@@ -151,6 +151,20 @@ def test_scans(spark):
     assert scanned.repair_scans(ocr.limit(0), u.limit(0)).count() == 0
 
 
+def test_running_lines_with_a_revision(spark):
+    body = ["the valve of the pump is checked before each start", "it was drained for service in the hall", "see the plate near the door, TM-8853 Rev. B"]
+    heads = ["TM-{} Rev. B  Pump Handbook", "LR-{}C Rev. C  桥式起重机使用维护手册", "Please read this. Rev. B", "QS-{} Rev. D"]
+    # one page a result: no line stands at the top of two pages of it
+    pages = [(f"o{h}{i}", "v1", [("\n".join([head.format(8853 + i), *body, "12"]), 1)], 0.9, 1) for h, head in enumerate(heads) for i in range(4)]
+    ocr = spark.createDataFrame(pages, "ocr_id string, document_version_id string, blocks array<struct<text:string,page_number:int>>, mean_confidence double, extracted_at int")
+    inner = "\n".join(["the valve of the pump", "TM-7001 Rev. B  Pump Handbook", "QS-8482 Rev. D", "LR-8424C Rev. C  桥式起重机使用维护手册", "Please read this. Rev. B", "as in the sheet TM-8853 Rev. B", "is checked before each start"])
+    u = spark.createDataFrame([("s1", "v1", inner, 2, 1), *[(f"c{i}", "v0", body[i % 2], None, 1) for i in range(60)]], "unit_id string, document_version_id string, text string, page_number int, loaded_at int")
+    got = {(r["row_id"], r["line_no"]) for r in scanned.found_faults(scanned.repair_scans(ocr, u)).where("fault = 'margin'").collect()}
+    assert {n for i, n in got if i == "s1"} == {2, 3, 4}
+    assert {i for i, n in got if n == 1 and i != "s1"} == {f"o{h}{i}" for h in (0, 1, 3) for i in range(4)}
+    assert {n for i, n in got if i != "s1"} == {1, 5}
+
+
 # -- p5 ----------------------------------------------------------------------------
 
 
