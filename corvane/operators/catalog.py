@@ -30,11 +30,13 @@ def active_chunks(chunks: DataFrame, versions: DataFrame, sources: DataFrame) ->
     return delivered_once(chunks, "id", "loaded_at").join(live, "document_version_id", "left_semi").join(open_, "source_id", "left_semi")
 
 
-def in_scope(rows: DataFrame, tenant: Column, sources: Column, documents: Column | None = None) -> DataFrame:
-    """Rows of the tenant whose source is listed, and whose document is, if any are."""
+def in_scope(rows: DataFrame, tenant: Column, sources: Column, documents: Column | None = None, versions: Column | None = None) -> DataFrame:
+    """Rows of the tenant whose source is listed, and whose document and version are, if any are."""
     keep = (F.col("tenant_id") == tenant) & F.array_contains(sources, F.col("source_id"))
     if documents is not None:
         keep &= (F.size(documents) == 0) | F.array_contains(documents, F.col("document_id"))
+    if versions is not None:
+        keep &= (F.size(versions) == 0) | F.array_contains(versions, F.col("document_version_id"))
     return rows.where(keep)
 
 

@@ -77,6 +77,14 @@ def query_features(text: Column) -> Column:
     return F.struct(F.coalesce(F.nullif(core, F.lit("")), F.trim(text)).alias("core_query"), hint.alias("source_hint"))
 
 
+def requested_items(text: Column) -> Column:
+    """The number of items a question asks for, 1 to 50; null if it names none."""
+    arabic = F.regexp_extract(text, r"(?i)(?<!\d)(\d{1,2})\s*(?:项|个|种|steps?|items?)", 1)
+    chinese = F.regexp_extract(text, r"([一二两三四五六七八九十])\s*(?:项|个|种|步|条)", 1)
+    value = F.when(arabic != "", F.least(arabic.try_cast("int"), F.lit(50))).when(chinese != "", F.when(chinese == "十", 10).otherwise(F.translate(chinese, "一二两三四五六七八九", "1223456789").try_cast("int")))
+    return F.nullif(value, F.lit(0))
+
+
 def need_parts(text: Column) -> Column:
     """Separate parts of a question that asks for several things "respectively", each of two
     or more characters; else the question itself."""

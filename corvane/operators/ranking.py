@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import content_terms, normal
+from corvane.functions.text import content_terms, exact_anchors, normal
+from corvane.operators.evidence import ASKED_TIMES, TEMPORAL, all_of
 from corvane.operators.lexical import rank
 
 
@@ -75,24 +76,69 @@ def target_size(candidates: Column, cut: Column, needs: Column, items: Column, d
     return F.greatest(floor, F.least(wanted, scan))
 
 
+def selection_targets(candidates: DataFrame, plan: DataFrame, default: int = 5, min_k: int = 3, max_k: int = 16, ratio: float = 0.35) -> DataFrame:
+    """(query_id, target): how many candidates to select for each query.  ``candidates``:
+    query_id, id, rank, score; ``plan``: query_id, needs (required ones), items (asked for).
+    Only a gap among the first ``max_k`` candidates counts."""
+    w = Window.partitionBy("query_id").orderBy("rank", "id")
+    head = candidates.select("query_id", "score", F.row_number().over(w).alias("rank")).where(F.col("rank") <= max_k)
+    rows = gap_cut(head, min_k, ratio).join(plan.select("query_id", "needs", "items"), "query_id", "left")
+    asked = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return rows.select("query_id", target_size(F.col("candidates"), F.col("cut"), asked("needs"), asked("items"), default, min_k, max_k).cast("int").alias("target"))
+
+
+def reserved_candidates(needs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(query_id, id, place): the best candidate of every need, in the order of the needs.
+
+    ``needs``: query_id, need_no, text, anchors (locators that must occur); ``candidates``:
+    query_id, id, rank, text.  The share of the need's terms leads, then rank; all locators
+    and asked time roles must occur, and a term where there are no locators."""
+    n = needs.select("query_id", "need_no", content_terms(normal(F.col("text"))).alias("terms"), "anchors", all_of(F.col("text"), ASKED_TIMES).alias("times"))
+    passage = F.coalesce("text", F.lit(""))
+    w = Window.partitionBy("query_id").orderBy("rank", "id")
+    c = candidates.select("query_id", "id", F.row_number().over(w).alias("rank"), content_terms(normal(passage)).alias("c_terms"), exact_anchors(normal(passage)).alias("c_anchors"), all_of(passage, TEMPORAL).alias("c_times"))
+    share = F.coalesce(F.try_divide(F.size(F.array_intersect("terms", "c_terms")).cast("double"), F.size("terms")), F.lit(0.0))
+    fits = (F.size(F.array_except("anchors", "c_anchors")) == 0) & (F.size(F.array_except("times", "c_times")) == 0)
+    rows = n.join(c, "query_id").withColumn("share", share).where(fits & ((F.col("share") > 0) | (F.size("anchors") > 0)))
+    best = rows.groupBy("query_id", "need_no").agg(F.max_by("id", F.struct(F.col("share") + 1.0 / (999 + F.col("rank")), -F.col("rank"))).alias("id"))
+    return best.groupBy("query_id", "id").agg(F.min("need_no").alias("place"))
+
+
+def effective_scope(routed: Column, scope: Column) -> Column:
+    """Routed sources inside the scope; the whole scope if there are none."""
+    both = F.array_intersect(routed, scope)
+    return F.when(F.size(both) > 0, both).otherwise(scope)
+
+
 def select_diverse(candidates: DataFrame, target: int = 5, max_k: int = 16, token_budget: int = 6000, share: float = 0.6) -> DataFrame:
-    """Greedy selection per query (query_id, id, rank, outcome).
+    """Greedy selection per query (query_id, id, rank, outcome, position).
 
-    ``candidates``: query_id, id, rank, document_id, family_id, tokens.  Visits at most
-    ``max_k`` candidates by rank and stops at ``target``: a family counts once, a
-    document at most ceil(target * share) times if several occur, tokens must fit.
+    ``candidates``: query_id, id, rank, document_id, family_id, tokens; if given, ``target``
+    replaces the argument and candidates with a ``place`` (reserved) come first, by place.
+    Visits at most ``max_k`` candidates in that order and stops at the target: a family
+    counts once, a document at most ceil(target * share) times if several occur among the
+    first ``max_k`` by rank, tokens must fit.  ``position`` counts the visits.
     Only the first max_k rows of a query reach its group, so groups are bounded.
     """
-    schema = "query_id string, id string, rank int, outcome string"
-    w = Window.partitionBy("query_id").orderBy("rank", "id")
-    head = candidates.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_k)
+    schema = "query_id string, id string, rank int, outcome string, position int"
+    given = lambda c, otherwise: F.coalesce(c, otherwise) if c in candidates.columns else otherwise
+    by_rank = Window.partitionBy("query_id").orderBy("rank", "id")
+    slim = candidates.select(
+        F.col("query_id").cast("string").alias("query_id"), F.col("id").cast("string").alias("id"), F.col("rank").cast("int").alias("rank"), F.coalesce("document_id", F.lit("")).alias("document_id"),
+        F.coalesce("family_id", "id").cast("string").alias("family_id"), F.coalesce("tokens", F.lit(0)).alias("tokens"), given("target", F.lit(target)).cast("int").alias("target"), given("place", F.lit(2**31 - 1)).cast("int").alias("place"),
+    )
+    w = Window.partitionBy("query_id")
+    near = F.when(F.col("_n") <= max_k, F.col("document_id"))
+    seen = slim.withColumn("_n", F.row_number().over(by_rank)).withColumn("several", F.min(near).over(w) != F.max(near).over(w))
+    head = seen.withColumn("position", F.row_number().over(w.orderBy("place", "rank", "id"))).where(F.col("position") <= max_k).drop("_n")
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["rank", "id"])
-        cap = target if rows["document_id"].nunique(dropna=False) <= 1 else max(1, math.ceil(target * share))
-        families, documents, used, out = set(), {}, 0, []
+        rows = rows.sort_values("position")
+        wanted = int(rows["target"].iloc[0])
+        cap = max(1, math.ceil(wanted * share)) if rows["several"].iloc[0] else wanted
+        families, documents, used, chosen, out = set(), {}, 0, 0, []
         for r in rows.itertuples(index=False):
-            if sum(o == "selected" for *_, o in out) >= target:
+            if chosen >= wanted:
                 break
             if r.family_id in families:
                 outcome = "family_seen"
@@ -105,11 +151,11 @@ def select_diverse(candidates: DataFrame, target: int = 5, max_k: int = 16, toke
                 families.add(r.family_id)
                 documents[r.document_id] = documents.get(r.document_id, 0) + 1
                 used += r.tokens
-            out.append((r.query_id, r.id, int(r.rank), outcome))
-        return pd.DataFrame(out, columns=["query_id", "id", "rank", "outcome"])
+                chosen += 1
+            out.append((r.query_id, r.id, int(r.rank), outcome, int(r.position)))
+        return pd.DataFrame(out, columns=["query_id", "id", "rank", "outcome", "position"])
 
-    slim = head.select(F.col("query_id").cast("string").alias("query_id"), F.col("id").cast("string").alias("id"), F.col("rank").cast("int").alias("rank"), F.coalesce("document_id", F.lit("")).alias("document_id"), F.coalesce("family_id", "id").cast("string").alias("family_id"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
-    return slim.groupBy("query_id").applyInPandas(pick, schema)
+    return head.groupBy("query_id").applyInPandas(pick, schema)
 
 
 def expand_context(hits: DataFrame, chunks: DataFrame, max_parent: int = 1600) -> DataFrame:

@@ -237,13 +237,32 @@ def routing_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 def _selection(spark: SparkSession, folder: str) -> DataFrame:
     hits = bm25_top30(spark, folder)
-    c = _leaves(spark, folder).select("id", "document_id", F.coalesce("parent_chunk_id", "id").alias("family_id"), F.col("token_count").alias("tokens"))
-    return hits.join(c, "id")
+    c = _leaves(spark, folder).select("id", "document_id", F.coalesce("parent_chunk_id", "id").alias("family_id"), F.col("token_count").alias("tokens"), F.coalesce(F.nullif("retrieval_text", F.lit("")), "text").alias("text"))
+    found = hits.join(c, "id")
+    asked = _questions(spark, folder).where("text is not null").select("query_id", evidence.need_parts(evidence.query_features(F.col("text"))["core_query"]).alias("parts"), text.exact_anchors(text.normal(F.col("text"))).alias("anchors"), evidence.requested_items(F.col("text")).alias("items"))
+    plan = asked.select("query_id", F.size("parts").alias("needs"), "items")
+    # the locators of a question belong to its only need, not to one of several
+    locators = F.when(F.size("parts") == 1, F.col("anchors")).otherwise(F.array().cast("array<string>"))
+    needs = asked.select("query_id", locators.alias("anchors"), F.posexplode("parts").alias("need_no", "text"))
+    placed = found.join(ranking.reserved_candidates(needs, found), ["query_id", "id"], "left").drop("text")
+    return placed.join(ranking.selection_targets(found, plan), "query_id", "left")
+
+
+def _selected(spark: SparkSession, folder: str) -> DataFrame:
+    """Selected candidates, ranked in the order of their selection."""
+    return ranking.select_diverse(_selection(spark, folder)).where("outcome = 'selected'").drop("rank").withColumnRenamed("position", "rank")
 
 
 @_add()
 def greedy_top_k(spark: SparkSession, folder: str) -> DataFrame:
-    return ranking.select_diverse(_selection(spark, folder))
+    return ranking.select_diverse(_selection(spark, folder)).drop("position")
+
+
+@_add()
+def effective_scopes(spark: SparkSession, folder: str) -> DataFrame:
+    scope = _read(spark, folder, "sources").where("is_active").agg(F.array_sort(F.collect_set("id")).alias("scope"))
+    routed = source_routing(spark, folder).groupBy("query_id").agg(F.array_sort(F.collect_set(F.when(F.col("selected"), F.col("source_id")))).alias("routed"))
+    return routed.crossJoin(scope).select("query_id", F.explode(ranking.effective_scope(F.col("routed"), F.col("scope"))).alias("source_id"))
 
 
 @_add(f"""WITH c AS {_C}, h AS (SELECT * FROM c WHERE chunk_level = 'leaf'),
@@ -261,7 +280,7 @@ def parent_expansion(spark: SparkSession, folder: str) -> DataFrame:
 
 @_add()
 def context_charges(spark: SparkSession, folder: str) -> DataFrame:
-    kept = ranking.select_diverse(_selection(spark, folder)).where("outcome = 'selected'")
+    kept = _selected(spark, folder)
     return ranking.charge_contexts(kept.join(ranking.expand_context(kept, _read(spark, folder, "chunks")), "id"))
 
 
@@ -696,7 +715,7 @@ def support_excerpts(spark: SparkSession, folder: str) -> DataFrame:
 
 @_add()
 def context_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    kept = ranking.select_diverse(_selection(spark, folder)).where("outcome = 'selected'").join(ranking.expand_context(_leaves(spark, folder), _read(spark, folder, "chunks")), "id")
+    kept = _selected(spark, folder).join(ranking.expand_context(_leaves(spark, folder), _read(spark, folder, "chunks")), "id")
     charged = ranking.charge_contexts(kept).select("query_id", "id", "kept")
     return evidence.context_blocks(kept.join(charged, ["query_id", "id"]))
 

@@ -134,6 +134,37 @@ def test_greedy_selection(spark):
     assert got == {"a1": "selected", "a2": "family_seen", "a3": "token_budget", "b1": "selected", "c1": "selected"}
 
 
+def test_targets_and_reserved_candidates(spark):
+    # a gap at the third place, a gap beyond the first 16, many items, no plan
+    scores = {1: [9.0, 8.9, 8.8, 2.0, 1.9, 1.8], 2: [9.0] * 17 + [1.0] * 3, 3: [9.0] * 20, 4: [1.0, 1.0]}
+    c = spark.createDataFrame([(q, f"{q}-{i:02}", i, s) for q, x in scores.items() for i, s in enumerate(x, 1)], "query_id int, id string, rank int, score double")
+    plan = spark.createDataFrame([(1, 1, None), (2, 1, None), (3, 2, 9)], "query_id int, needs int, items int")
+    assert dict(map(tuple, ranking.selection_targets(c, plan).collect())) == {1: 3, 2: 5, 3: 9, 4: 2}
+    plan = spark.createDataFrame([(1, 5, None)], "query_id int, needs int, items int")
+    assert dict(map(tuple, ranking.selection_targets(c, plan).collect()))[1] == 5
+
+    text = ["pump seal", "other words", "boiler valve pressure", "boiler", "lease 之日起", "pump seal"]
+    c = spark.createDataFrame([(1, f"c{i}", i, "d", None, 10, t) for i, t in enumerate(text, 1)], "query_id int, id string, rank int, document_id string, family_id string, tokens int, text string")
+    n = lambda *x: spark.createDataFrame([(1, k, t, a) for k, (t, a) in enumerate(x)], "query_id int, need_no int, text string, anchors array<string>")
+    got = ranking.reserved_candidates(n(("boiler valve", []), ("pump seal", []), ("lease 何时开始", []), ("absent thing", []), ("pump", ["code:ab-1"])), c)
+    assert {r["id"]: r["place"] for r in got.collect()} == {"c3": 0, "c1": 1, "c5": 2}
+    chosen = ranking.select_diverse(c.join(got, ["query_id", "id"], "left").withColumn("target", F.lit(4))).orderBy("position").collect()
+    assert [(r["id"], r["rank"]) for r in chosen] == [("c3", 3), ("c1", 1), ("c5", 5), ("c2", 2)]
+    # a reserved candidate beyond the first max_k is visited; document variety is judged by rank
+    far = ranking.select_diverse(c.withColumn("place", F.expr("if(id = 'c6', 0, null)")), target=2, max_k=2).collect()
+    assert {r["id"] for r in far} == {"c6", "c1"}
+
+
+def test_requested_items_and_scope(spark):
+    count = lambda t: one(spark, evidence.requested_items(F.col("t")), t=t)
+    assert [count(t) for t in ("列出12项原则", "哪十种备件", "两个步骤", "name 7 items", "泵的功率", "0个")] == [12, 10, 2, 7, None, None]
+    scope = spark.createDataFrame([(["a", "x"], ["a", "b"]), (["x"], ["a", "b"])], "r array<string>, s array<string>").select(ranking.effective_scope(F.col("r"), F.col("s")).alias("e"))
+    assert [r["e"] for r in scope.collect()] == [["a"], ["a", "b"]]
+    c = spark.createDataFrame([("t", "s", "d", "v1"), ("t", "s", "d", "v2")], "tenant_id string, source_id string, document_id string, document_version_id string")
+    kept = lambda *v: catalog.in_scope(c, F.lit("t"), F.array(F.lit("s")), versions=F.array(*map(F.lit, v)).cast("array<string>")).count()
+    assert kept("v2") == 1 and kept() == 2
+
+
 def test_expansion_kinds_and_charges(spark):
     schema = "id string, tenant_id string, source_id string, document_id string, document_version_id string, parent_chunk_id string, hard_boundary_key string, chunk_level string, text string, token_count int, previous_chunk_id string, next_chunk_id string, loaded_at timestamp"
     leaf = lambda i, p, prev, nxt: (i, "t", "s", "d", "v", p, None, "leaf", i, 10, prev, nxt, None)
