@@ -86,13 +86,21 @@ def requested_items(text: Column) -> Column:
 
 
 def need_parts(text: Column) -> Column:
-    """Separate parts of a question that asks for several things "respectively", each of two
-    or more characters; else the question itself."""
+    """Separate parts of a question: the beginning and the end of a time, the items of a
+    numbered list, or what it asks for "respectively", each of two or more characters; else
+    the question itself."""
+    pair = r"(?s)^(.+?)从?何时开始[、，,；;和与及]*到?何时终止"
+    marker = r"(?:^|[\n；;])\s*(?:\d+[.)、]|[（(]期?[0-9一-九]+[）)])\s*"
+    subject = F.regexp_replace(F.regexp_extract(text, pair, 1), "^[ ，,;；。？?]+|[ ，,;；。？?]+$", "")
+    items = F.filter(F.transform(F.split(text, marker), lambda p: F.regexp_replace(p, "^[ ，,;；。]+|[ ，,;；。]+$", "")), lambda p: F.length(p) >= 2)
     tail = F.element_at(F.split(text, "(?i)分别|respectively", 2), -1)
     strip = lambda p: F.regexp_replace(p, "^[ ，,;；。？?]+|[ ，,;；。？?]+$", "")
-    parts = F.filter(F.transform(F.split(tail, "(?i)[、，,；;]|和|与|及|\\band\\b"), strip), lambda p: F.length(p) >= 2)
+    parts = F.filter(F.transform(F.split(tail, "(?i)[、，,；;]|以及|和|与|及|\\band\\b"), strip), lambda p: F.length(p) >= 2)
     split = text.rlike("(?i)分别|respectively") & (F.size(parts) > 1)
-    return F.slice(F.when(split, parts).otherwise(F.array(text)), 1, 12)
+    either = F.when(text.rlike(pair), F.array(F.concat(subject, F.lit("何时开始")), F.concat(subject, F.lit("何时终止"))))
+    # a list of one item, or a mark alone, is no list
+    either = either.when(text.rlike(marker), F.when(F.size(items) > 1, items).otherwise(F.array(text))).when(split, parts).otherwise(F.array(text))
+    return F.slice(either, 1, 12)
 
 
 def grade_needs(needs: DataFrame, evidence: DataFrame, threshold: float = 0.35) -> DataFrame:

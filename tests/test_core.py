@@ -155,6 +155,16 @@ def test_targets_and_reserved_candidates(spark):
     assert {r["id"] for r in far} == {"c6", "c1"}
 
 
+def test_needs_of_times_and_lists(spark):
+    parts = lambda t: one(spark, evidence.need_parts(F.col("t")), t=t)
+    assert parts("监护从何时开始，到何时终止？") == ["监护何时开始", "监护何时终止"]
+    assert parts("1. 泵的功率；2. 阀的压力") == ["泵的功率", "阀的压力"]
+    assert parts("请说明\n（一）泵的功率\n（2）阀的压力。") == ["请说明", "泵的功率", "阀的压力"]
+    assert parts("1. 泵的功率") == ["1. 泵的功率"] and parts("监护何时终止") == ["监护何时终止"]
+    assert parts("分别说明泵的功率以及阀的压力") == ["说明泵的功率", "阀的压力"]
+    assert len(parts("；".join(f"{i}. 部件{i}" for i in range(1, 20)))) == 12
+
+
 def test_requested_items_and_scope(spark):
     count = lambda t: one(spark, evidence.requested_items(F.col("t")), t=t)
     assert [count(t) for t in ("列出12项原则", "哪十种备件", "两个步骤", "name 7 items", "泵的功率", "0个")] == [12, 10, 2, 7, None, None]
