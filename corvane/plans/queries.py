@@ -680,6 +680,12 @@ def shared_prefixes(spark: SparkSession, folder: str) -> DataFrame:
     return index_text.shared_prefixes(_leaves(spark, folder), 12, 2).select("document_version_id", "bodies")
 
 
+@_add()
+def shared_prefix_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """The rule itself: 320 characters, four bodies."""
+    return index_text.shared_prefixes(_leaves(spark, folder)).select("document_version_id", "bodies")
+
+
 @_add(f"WITH l AS {_L}, p AS (SELECT id FROM {_C} WHERE chunk_level = 'parent') SELECT count(*) AS leaves, count(*) FILTER (token_count > 400) AS oversized, round(count(*) FILTER (len(heading_path) > 0) / count(*)::DOUBLE, 6) AS heading_ratio, round((count(*) - count(DISTINCT coalesce(text, ''))) / count(*)::DOUBLE, 6) AS duplicate_ratio, round(count(*) FILTER (parent_chunk_id IS NULL OR parent_chunk_id IN (SELECT id FROM p)) / count(*)::DOUBLE, 6) AS parent_integrity FROM l")
 def chunk_report(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.chunk_report(_chunks(spark, folder), 400)

@@ -96,3 +96,14 @@ def test_versions_are_replaced_and_rows_inserted_once(spark, tmp_path):
     sinks.replace_versions(c(("c", "v1")), str(tmp_path / "t"))
     assert rows(spark.read.parquet(str(tmp_path / "t")).select("id")) == [("b",), ("c",)]
     assert rows(sinks.new_rows(c(("a", "x"), ("n", "x"), ("n", "x")), c(("a", "y")), "id")) == [("n", "x")]
+
+
+def test_shared_prefix_rule(spark, tmp_path):
+    from corvane.plans import queries
+
+    same = "x" * 320
+    row = lambda v, n, text, level="leaf": (f"{v}{n}", v, f"body {n}", text, level, 1)
+    made = [row("v1", n, same + str(n)) for n in range(4)] + [row("v2", n, same) for n in range(3)] + [row("v3", n, same[1:] + "|" + str(n)) for n in range(3)] + [row("v3", 3, same[:319])] + [row("v4", n, same, "parent") for n in range(4)] + [("v5", "v5", "body", same, "leaf", 1)] * 4
+    c = spark.createDataFrame(made, "id string, document_version_id string, text string, retrieval_text string, chunk_level string, loaded_at int")
+    c.write.parquet(f"{tmp_path}/chunks.parquet")
+    assert rows(queries.queries()["shared_prefix_violations"](spark, str(tmp_path))) == [("v1", 4)]
