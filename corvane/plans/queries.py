@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import ids, text
+from corvane.functions.storage import materialize
 from corvane.operators import catalog, chunking, dense, evidence, index_text, lexical, metrics, ranking, snapshots, structure
 from corvane.plans import sql
 
@@ -236,7 +237,8 @@ def routing_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _selection(spark: SparkSession, folder: str) -> DataFrame:
-    hits = bm25_top30(spark, folder)
+    # hits feed the targets, the reservation and the selection: written once, a few rows per question
+    hits = materialize(bm25_top30(spark, folder), "selection-hits")
     c = _leaves(spark, folder).select("id", "document_id", F.coalesce("parent_chunk_id", "id").alias("family_id"), F.col("token_count").alias("tokens"), F.coalesce(F.nullif("retrieval_text", F.lit("")), "text").alias("text"))
     found = hits.join(c, "id")
     asked = _questions(spark, folder).where("text is not null").select("query_id", evidence.need_parts(evidence.query_features(F.col("text"))["core_query"]).alias("parts"), text.exact_anchors(text.normal(F.col("text"))).alias("anchors"), evidence.requested_items(F.col("text")).alias("items"))
