@@ -17,14 +17,20 @@ Inside a list a pair must pass the size bound, the positional bound and a parity
 bitmap of the elements from its position on: the parity of hashed elements
 differs in at most as many bits as the sets differ in elements, so no true pair
 is lost.  Lists expected to be longer than ``list_block`` are cut into blocks and
-joined block against block, each in its own task.  What survives is verified on
-the full sets.  Exact copies enter the join once.
+joined block against block.  What survives is verified on the full sets.  Exact
+copies enter the join once.
+
+Entries travel in buckets whose number follows from the set sizes, so that a bucket
+has about ``BUCKET_BYTES`` whatever the data; a task reads its buckets in order and
+holds one at a time.  The sketch grows with the text up to ``SKETCH_BITS[1]``; beyond
+that its noise blurs the order among rare elements only, which costs tests, never
+pairs, and the length expected of a list is taken above that noise.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from fractions import Fraction
 
 import numpy as np
@@ -36,8 +42,12 @@ from corvane.functions.storage import materialize, shuffle_partitions
 from corvane.llm import sketches
 from corvane.llm.tokens import mix64, shingle_hashes, tokenize
 
-SKETCH_BITS = 20
-FILTER_BITS = 23
+#: Counters of the element sketch and bits of the candidate filter, as powers of two:
+#: least and most.
+SKETCH_BITS, FILTER_BITS = (20, 23), (23, 28)
+#: Expected bytes of one bucket and of one task's buckets, and the most tasks to plan;
+#: with more data a task has more buckets, not larger ones.
+BUCKET_BYTES, TASK_BYTES, MOST_TASKS = 1 << 20, 6 << 20, 50_000
 #: Sets of up to CLASS_SIZE elements carry bitmaps of 4 words; the size doubles with each
 #: further class, and bitmaps grow so that those of large sets do not fill up.
 CLASS_SIZE = 512
@@ -58,6 +68,7 @@ class JoinParameters:
     boundary: int
     buckets: int
     list_block: int
+    bits: int
 
 
 def bitmap_words(k: int) -> int:
@@ -102,19 +113,19 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, l
             yield np.array([sids[i] for i in part], np.int64), [texts[i] for i in part], salts
 
 
-def _fold_counts(width: int, histogram: int):
+def _fold_counts(width: int, histogram: int, bits: int):
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        sizes = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << bits, np.uint32)
+        sizes = np.zeros(histogram, np.int64)
         for _, texts, salts in _distinct(batches):
             flat, ends = shingle_sets(texts, width)
             n = np.diff(ends)
-            elements = mix64(flat ^ np.repeat(salts, n))
-            counts += np.bincount((elements & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=len(counts))
-            sizes += np.bincount(np.minimum(n, histogram - 1), minlength=len(sizes))
+            at, times = np.unique(mix64(flat ^ np.repeat(salts, n)) & np.uint64((1 << bits) - 1), return_counts=True)
+            counts[at] += times.astype(np.uint32)
+            sizes += np.bincount(np.minimum(n, histogram - 1), minlength=histogram)
         yield sketches.pieces(counts)
         # the histogram of set sizes rides along in the blocks after the counters
-        for block, part in enumerate(np.array_split(sizes[:histogram], sketches.BLOCKS)):
+        for block, part in enumerate(np.array_split(sizes, sketches.BLOCKS)):
             yield pa.RecordBatch.from_pydict(
                 {"block": pa.array([sketches.BLOCKS + block], pa.int32()), "counts": pa.array([sketches._pack(part.astype("<u4"))], pa.binary())}
             )
@@ -122,11 +133,11 @@ def _fold_counts(width: int, histogram: int):
     return fold
 
 
-def element_statistics(sets: DataFrame, width: int, histogram: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+def element_statistics(sets: DataFrame, width: int, bits: int, histogram: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """Sketch of element counts over all sets, and the histogram of set sizes
     (sizes beyond its end count at its end)."""
     merged = (
-        sets.mapInArrow(_fold_counts(width, histogram), sketches.PIECES)
+        sets.mapInArrow(_fold_counts(width, histogram, bits), sketches.PIECES)
         .repartition(2 * sketches.BLOCKS, F.col("block"))
         .mapInArrow(sketches._add_up, sketches.PIECES)
     )
@@ -136,7 +147,7 @@ def element_statistics(sets: DataFrame, width: int, histogram: int = 1 << 16) ->
         lengths = [len(p) for p in np.array_split(np.empty(size, np.uint8), sketches.BLOCKS)]
         return np.concatenate([got.get(first + b, np.zeros(lengths[b], np.uint32)) for b in range(sketches.BLOCKS)])
 
-    return whole(0, 1 << SKETCH_BITS), whole(sketches.BLOCKS, histogram)
+    return whole(0, 1 << bits), whole(sketches.BLOCKS, histogram)
 
 
 def choose_boundary(counts: np.ndarray, sizes: np.ndarray, t: Fraction) -> int:
@@ -153,6 +164,21 @@ def choose_boundary(counts: np.ndarray, sizes: np.ndarray, t: Fraction) -> int:
     return int(np.argmin(total))
 
 
+def list_lengths(counts: np.ndarray) -> np.ndarray:
+    """Expected list length per quarter-octave rank: the upper end of the rank without
+    the noise that every counter holds, the median count."""
+    return np.maximum(1.0, 2 ** ((np.arange(256) + 1) / 4) - float(np.median(counts)))
+
+
+def entry_bytes(sizes: np.ndarray, par: JoinParameters) -> int:
+    """Bytes of all list entries and subset keys at most, from the histogram of set sizes."""
+    n = np.flatnonzero(sizes)
+    prefix = n - _share(n, par.threshold) + 1
+    words = np.array([bitmap_words(k) for k in np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / CLASS_SIZE))).astype(int)])
+    light = np.where(n <= par.boundary, (prefix + 1) * prefix // 2 * (16 + 8 * SUBSET_WORDS), 0)
+    return int((sizes[n].astype(np.int64) * (prefix * (21 + 8 * words) + light)).sum())
+
+
 def _log_counts(counts: np.ndarray) -> np.ndarray:
     """Counters on a quarter-octave scale in one byte; 0 for a count of at most 1."""
     return np.minimum(255, np.floor(4 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
@@ -184,7 +210,7 @@ def _blobs(kind: int, bucket: np.ndarray, **arrays: np.ndarray) -> Iterator[pa.R
 
 def _entries(par: JoinParameters, log_counts):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = log_counts.value
+        logs, lengths = log_counts.value
         for sids, texts, salts in _distinct(batches):
             flat, ends = shingle_sets(texts, par.width)
             n = np.diff(ends)
@@ -192,30 +218,30 @@ def _entries(par: JoinParameters, log_counts):
                 continue
             owner = np.repeat(np.arange(len(n)), n)
             elements = mix64(flat ^ salts[owner])
-            rank = logs[(elements & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
+            rank = logs[(elements & np.uint64((1 << par.bits) - 1)).astype(np.int64)]
             order = np.lexsort((elements, rank, owner))
             elements, rank = elements[order], rank[order]
-            yield from _list_entries(par, sids, elements, rank, ends)
+            yield from _list_entries(par, lengths, sids, elements, rank, ends)
             if par.boundary:
                 yield from _subset_keys(par, sids, elements, rank, n, ends)
 
     return emit
 
 
-def _list_entries(par, sids, elements, rank, ends) -> Iterator[pa.RecordBatch]:
+def _list_entries(par, lengths, sids, elements, rank, ends) -> Iterator[pa.RecordBatch]:
     largest, k = int(np.diff(ends).max()), 0
     while True:
         # a pair is joined in the class of its larger set
         least = 0 if k == 0 else int(_share(np.int64((CLASS_SIZE << (k - 1)) + 1), par.threshold))
         sets = np.flatnonzero((np.diff(ends) >= max(1, least)) & (np.diff(ends) <= CLASS_SIZE << k))
         if len(sets):
-            yield from _class_entries(par, k, sets, sids, elements, rank, ends)
+            yield from _class_entries(par, lengths, k, sets, sids, elements, rank, ends)
         if CLASS_SIZE << k >= largest:
             break
         k += 1
 
 
-def _class_entries(par, k, sets, sids, elements, rank, ends) -> Iterator[pa.RecordBatch]:
+def _class_entries(par, lengths, k, sets, sids, elements, rank, ends) -> Iterator[pa.RecordBatch]:
     sizes = np.diff(ends)[sets]
     own_ends = np.concatenate([[0], np.cumsum(sizes)])
     at = np.arange(own_ends[-1]) - np.repeat(own_ends[:-1] - ends[:-1][sets], sizes)
@@ -238,7 +264,7 @@ def _class_entries(par, k, sets, sids, elements, rank, ends) -> Iterator[pa.Reco
     own = owner[keep]
     bitmap = after[keep] ^ after[ends[1:][own]]
     element = elements[keep]
-    blocks = np.ceil(2 ** ((rank[keep].astype(np.float64) + 1) / 4) / par.list_block).astype(np.int64)
+    blocks = np.ceil(lengths[rank[keep]] / par.list_block).astype(np.int64)
     side = np.full(len(keep), 2, np.uint8)
     if (blocks > 1).any():
         copies = np.maximum(blocks, 1)
@@ -350,26 +376,35 @@ def _in_lists(par: JoinParameters, blobs: list[bytes], kind: int) -> np.ndarray:
 
 def _meet(par: JoinParameters):
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list[bytes]] = {}
+        # rows come in the order of (bucket, kind): a bucket is done when its rows end
+        at, blobs = None, []
+
+        def pairs() -> Iterator[pa.RecordBatch]:
+            found = _in_lists(par, blobs, at[1]) if at else ()
+            if len(found):
+                yield pa.RecordBatch.from_pydict({"sid_a": pa.array(found[:, 0], pa.int64()), "sid_b": pa.array(found[:, 1], pa.int64())})
+
         for batch in batches:
             for bucket, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                held.setdefault((bucket, kind), []).append(blob)
-        while held:
-            (_, kind), blobs = held.popitem()
-            pairs = _in_lists(par, blobs, kind)
-            if len(pairs):
-                yield pa.RecordBatch.from_pydict({"sid_a": pa.array(pairs[:, 0], pa.int64()), "sid_b": pa.array(pairs[:, 1], pa.int64())})
+                if (bucket, kind) != at:
+                    yield from pairs()
+                    at, blobs = (bucket, kind), []
+                blobs.append(blob)
+        yield from pairs()
 
     return meet
 
 
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    marks = np.zeros(1 << FILTER_BITS, np.uint8)
-    for batch in batches:
-        for k in range(batch.num_columns):
-            marks[_filter_slot(batch.column(k).to_numpy(zero_copy_only=False))] = 1
-    for block, part in enumerate(np.array_split(np.packbits(marks), sketches.BLOCKS)):
-        yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "counts": pa.array([part.tobytes()], pa.binary())})
+def _mark(bits: int):
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.zeros(1 << bits, bool)
+        for batch in batches:
+            for k in range(batch.num_columns):
+                marks[_filter_slot(batch.column(k).to_numpy(zero_copy_only=False), bits)] = True
+        for block, part in enumerate(np.array_split(np.packbits(marks), sketches.BLOCKS)):
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "counts": pa.array([part.tobytes()], pa.binary())})
+
+    return mark
 
 
 def _merge_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,21 +417,39 @@ def _merge_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "counts": pa.array([part.tobytes()], pa.binary())})
 
 
-def _filter_slot(sids: np.ndarray) -> np.ndarray:
-    return (mix64(sids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _filter_slot(sids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix64(sids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _marked(marks):
+def _marked(marks, bits: int):
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(marks.value)
+        packed = marks.value
         for batch in batches:
-            hit = bits[_filter_slot(batch.column(0).to_numpy(zero_copy_only=False))] == 1
+            slot = _filter_slot(batch.column(0).to_numpy(zero_copy_only=False), bits)
+            hit = packed[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1 == 1
             if hit.any():
                 yield batch.filter(pa.array(hit))
 
     return keep
 
 
+def _fitting(many: int, limits: tuple[int, int]) -> int:
+    """The power of two that holds ``many``, within limits."""
+    return min(max(int(many).bit_length(), limits[0]), limits[1])
+
+
+def candidate_texts(records: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(sid, text) of the sets in candidate pairs, each once; others are mostly kept out of
+    the shuffle by a bit table whose size follows the number of pairs."""
+    spark = records.sparkSession
+    bits = _fitting(16 * candidates.count(), FILTER_BITS)
+    marked = candidates.select("sid_a", "sid_b").mapInArrow(_mark(bits), sketches.PIECES).repartition(sketches.BLOCKS, "block").mapInArrow(_merge_marks, sketches.PIECES)
+    pieces = {r["block"]: np.frombuffer(bytes(r["counts"]), np.uint8) for r in marked.collect()}
+    size = (1 << bits) // 8 // sketches.BLOCKS
+    marks = spark.sparkContext.broadcast(np.concatenate([pieces.get(b, np.zeros(size, np.uint8)) for b in range(sketches.BLOCKS)]))
+    return records.select("sid", "text").mapInArrow(_marked(marks, bits), "sid long, text string").dropDuplicates(["sid"])
+
+
 def _verify(par: JoinParameters):
     t = par.threshold
 
@@ -444,22 +497,18 @@ def similar_texts(records: DataFrame, threshold: float = 0.8, width: int = 5, li
     if not 0 < t <= 1:
         raise ValueError("threshold must lie in (0, 1]")
     sets = records.select("sid", "text", F.xxhash64("table_name").alias("salt"))
-    counts, sizes = element_statistics(sets, width)
-    parts = shuffle_partitions(spark)
-    par = JoinParameters(t, width, choose_boundary(counts, sizes, t) if boundary is None else boundary, 4 * parts, list_block)
-    log_counts = spark.sparkContext.broadcast(_log_counts(counts))
-    candidates = (
-        sets.mapInArrow(_entries(par, log_counts), "bucket int, kind int, blob binary")
-        .repartition(parts, "bucket")
-        .mapInArrow(_meet(par), "sid_a long, sid_b long")
-        .distinct()
-    )
-    candidates = materialize(candidates, "similar-candidates")
-    marked = candidates.mapInArrow(_mark, sketches.PIECES).repartition(sketches.BLOCKS, "block").mapInArrow(_merge_marks, sketches.PIECES)
-    pieces = {r["block"]: np.frombuffer(bytes(r["counts"]), np.uint8) for r in marked.collect()}
-    size = (1 << FILTER_BITS) // 8 // sketches.BLOCKS
-    marks = spark.sparkContext.broadcast(np.concatenate([pieces.get(b, np.zeros(size, np.uint8)) for b in range(sketches.BLOCKS)]))
-    texts = records.select("sid", "text").mapInArrow(_marked(marks), "sid long, text string").dropDuplicates(["sid"])
+    # a text has at most as many elements as characters
+    bits = _fitting((records.agg(F.sum(F.length("text"))).first()[0] or 0) // 4, SKETCH_BITS)
+    counts, sizes = element_statistics(sets, width, bits)
+    par = JoinParameters(t, width, choose_boundary(counts, sizes, t) if boundary is None else boundary, 1, list_block, bits)
+    size = entry_bytes(sizes, par)
+    par = replace(par, buckets=min(max(4 * shuffle_partitions(spark), size // BUCKET_BYTES), (1 << 31) - 1))
+    tasks = min(max(shuffle_partitions(spark), -(-size // TASK_BYTES)), MOST_TASKS)
+    log_counts = spark.sparkContext.broadcast((_log_counts(counts), list_lengths(counts)))
+    entries = sets.mapInArrow(_entries(par, log_counts), "bucket int, kind int, blob binary")
+    placed = entries.repartitionById(tasks, F.col("bucket") % tasks).sortWithinPartitions("bucket", "kind")
+    candidates = materialize(placed.mapInArrow(_meet(par), "sid_a long, sid_b long").distinct(), "similar-candidates")
+    texts = candidate_texts(records, candidates)
     left = texts.select(F.col("sid").alias("sid_a"), F.col("text").alias("left"))
     right = texts.select(F.col("sid").alias("sid_b"), F.col("text").alias("right"))
     return candidates.join(left, "sid_a").join(right, "sid_b").select("sid_a", "sid_b", "left", "right").mapInArrow(_verify(par), "sid_a long, sid_b long, shared int, in_union int")
