@@ -1,17 +1,17 @@
 """Repair of text from scanned pages.
 
-A noisy-channel model: a page line is what a recogniser made of a clean line.  The
-language side is a fixed-size count sketch of character and word n-grams of all
-clean text; the channel side is a table of characters that recognisers mistake for
-each other, weighted by the page's mean confidence.  Lines are decoded by Viterbi
-over the candidates of each character and word.  The sketch also counts how often a
-line form stands at the edge of a page or inside it, which tells running headers and
-footers from headings.
+A noisy-channel model: a page line is what a recogniser made of a clean line.  Both
+sides are learned from the data (:mod:`corvane.llm.scan_model`): n-grams of the clean
+text, and how often each character or segment is read as another at a page's
+confidence.  Lines are decoded by one Viterbi pass over candidate words and
+characters.  How often a line form stands at the edge of a page or inside it tells
+running headers and footers from headings.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata as ud
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,24 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.storage import shuffle_partitions
-from corvane.llm.sketches import collect_counts, pieces
-from corvane.llm.tokens import code_points, mix64
-
-SKETCH_BITS = 22
-# Characters that recognisers confuse, written true character first.
-HAN_MISREADS = (
-    "管菅 员贝 电龟 间问 备各 检捡 试拭 日曰 入人 温湿 机杌 压庄 水氷 气乞 测侧 盘盆 设没 轴抽 记纪 条杀 阀阅 准淮 操澡 开井 录泉 "
-    "经除 油汕 板扳 干千 大太 第笫 未末 土士 己已 已己 己巳 天夫 夫失 午牛 目日 白自 自白 田由 由田 甲申 候侯 侯候 析折 折拆 拆折 拔拨 拨拔 "
-    "戊戌 戌戍 治冶 冷泠 决央 史吏 刀力 力刀 九丸 几凡 厂广 广厂 鸟乌 风凤 处外 宜宣 宣宜 晴睛 陪倍 栏拦 级极 往住 住往 待侍 侍待 辨辩 辩辨 "
-    "今令 令今 木本 本木 王玉 主王 于干 工土 上土 下卜 小少 办为 方万 万方 历厉 仓仑 沐沭 洒酒 茶荼 崇祟 微徽 徽微 载栽 栽载 复夏 更史 具其 其具 且旦 旦且"
-)
-# The same for Latin text, true=read.
-LATIN_MISREADS = "l=1 i=l i=1 o=0 e=c c=e t=f f=t u=ii m=rn rn=m h=b b=h g=q q=g d=cl cl=d w=vv n=ri a=o s=5 b=6 z=2 ü=ii ä=a ö=o I=l l=I O=0 S=5 B=8"
-_HAN = re.compile("[㐀-鿿]")
+from corvane.functions.storage import materialize, shuffle_partitions
+from corvane.llm.scan_model import CODE, HAN, Channel, Language, band, confusion_table, language_model, learn_channel, line_forms, mapped
+from corvane.llm.tokens import code_points
+
 _WORD = re.compile(r"[A-Za-zÀ-ɏ0-9]+")
-_LETTERS = re.compile(r"[A-Za-zÀ-ɏ]+(?:-[A-Za-zÀ-ɏ]+)*")
-_CODE = re.compile(r"[A-Z]{1,3}-?[0-9lO]+(?:[-/][0-9lO]+)?[A-Z]?(?![a-z])")
+_TOKEN = re.compile(r"[A-Za-zÀ-ɏ0-9]+|\s+|.", re.S)
+_BEFORE = re.compile(r"([A-Za-zÀ-ɏ]+) $")
 _HYPHENS = "-‐‑¬­"
 _ALWAYS_SPLIT = "¬­"
 _NUMBER = re.compile(r"\s*[0-9lIO]+\s*")
@@ -49,117 +38,10 @@ _FOLIO = re.compile(
 _ENDED = re.compile(r"[。！？.!?；;：:][\"'”’」）)]*\s*$")
 _PROSE = re.compile(r"[，。；]|[a-zß-ÿ]{2}[,;.:](?:\s|$)|[,;]\s*$")
 # a code and its revision at the beginning of a line: the point of "Rev." ends no sentence
-_REVISION = re.compile(r"\s*" + _CODE.pattern + r"\s*Rev\.\s*[A-Z](?=\s|$)")
+_REVISION = re.compile(r"\s*" + CODE.pattern + r"\s*Rev\.\s*[A-Z](?=\s|$)")
 MARGIN, HYPHEN, MISREAD = "margin", "hyphen", "misread"
-
-
-def _han_table() -> dict[str, list[str]]:
-    """Read character -> true characters."""
-    table: dict[str, list[str]] = {}
-    for pair in HAN_MISREADS.split():
-        table.setdefault(pair[1], []).append(pair[0])
-    return table
-
-
-def _latin_table() -> list[tuple[str, str]]:
-    return [tuple(reversed(p.split("="))) for p in LATIN_MISREADS.split()]  # type: ignore[misc]
-
-
-def _mix(x: int) -> int:
-    """:func:`mix64` of one word."""
-    m = 0xFFFFFFFFFFFFFFFF
-    x ^= x >> 30
-    x = x * 0xBF58476D1CE4E5B9 & m
-    x ^= x >> 27
-    x = x * 0x94D049BB133111EB & m
-    return x ^ x >> 31
-
-
-def _word_key(kind: str, word: str) -> int:
-    h = 0xCBF29CE484222325
-    for byte in f"{kind}\0{word}".encode():
-        h = (h ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return _mix(h)
-
-
-def line_forms(line: str) -> list[str]:
-    """Forms under which a margin line recurs: the whole line without its numbers and
-    codes, its last characters or word, its first word."""
-    text = _CODE.sub("C", line.strip())
-    text = re.sub(r"[0-9lIO]*[0-9]+[0-9lIO]*", "#", text)
-    text = re.sub(r"[一二三四五六七八九十百]+(?=[章节編编])", "N", text).replace("笫", "第")
-    text = re.sub(r"^#\s+|\s+#$", "", re.sub(r"\s{2,}", "  ", text))
-    forms = ["w" + text]
-    if len(text) <= 48:
-        if _HAN.search(text[-4:]):
-            if len(text) >= 5:
-                forms.append("e" + text[-5:])
-        elif " " in text:
-            forms.append("e" + text.rsplit(" ", 1)[1])
-        head = re.match(r"[A-Za-zÀ-ɏ]{4,}|第N[章节]|C Rev\. [A-Z]$", text)
-        if head:
-            forms.append("s" + head.group())
-    return forms
-
-
-def _mapped(text: str) -> str:
-    """Context characters: all digits are one, all capitals are one."""
-    return text.translate(_CONTEXT)
-
-
-_CONTEXT = {**{ord(c): "0" for c in "0123456789"}, **{c: "A" for c in range(65, 91)}}
-
-
-def _fold(bits: int):
-    half = np.uint64((1 << (bits - 1)) - 1)
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.int64)
-
-        def add(keys: np.ndarray, times: np.ndarray | None = None) -> None:
-            at = (keys & half).astype(np.int64)
-            counts[:] += np.bincount(at, times, len(counts)).astype(np.int64)
-            at = (keys >> np.uint64(32) & half).astype(np.int64) + (1 << (bits - 1))
-            counts[:] += np.bincount(at, times, len(counts)).astype(np.int64)
-
-        for batch in batches:
-            words: Counter[str] = Counter()
-            clean: list[str] = []
-            for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not page:
-                    clean.append(text)
-                    continue
-                lines = [x for x in text.split("\n") if x.strip()]
-                for i, line in enumerate(lines):
-                    place = "t" if i == 0 else "b" if i >= len(lines) - 2 else "m"
-                    words.update(place + f for f in line_forms(line))
-            if clean:
-                keys = []
-                for a in range(0, len(clean), 4000):
-                    part = clean[a : a + 4000]
-                    for text in part:
-                        words.update("x" + w.lower() for w in _LETTERS.findall(text))
-                    cps = code_points([_mapped("\n".join(["", *part, ""]))])[0].astype(np.uint64)
-                    han = (cps >= 0x3400) & (cps < 0xA000)
-                    one = cps[han]
-                    two = (cps[:-1] << np.uint64(21) | cps[1:])[han[:-1] | han[1:]]
-                    three = (cps[:-2] << np.uint64(42) | cps[1:-1] << np.uint64(21) | cps[2:])[han[:-2] | han[1:-1] | han[2:]]
-                    keys.append(mix64(np.concatenate([one, two, three])))
-                distinct, times = np.unique(np.concatenate(keys), return_counts=True)
-                add(distinct, times)
-            if words:
-                add(np.array([_word_key(w[0], w[1:]) for w in words], np.uint64), np.array([*words.values()]))
-        yield pieces(counts)
-
-    return fold
-
-
-def language_model(clean: DataFrame, pages: DataFrame) -> np.ndarray:
-    """Sketch of clean texts (text) and of page texts (text), on a log scale of one
-    byte per counter (eighth octaves, 0 for none)."""
-    rows = clean.where("text is not null").select(F.lit(False).alias("page"), "text").unionByName(pages.where("text is not null").select(F.lit(True).alias("page"), "text"))
-    counts = collect_counts(rows, _fold(SKETCH_BITS), SKETCH_BITS)
-    return np.where(counts > 0, np.minimum(255, 1 + np.round(8 * np.log2(np.maximum(counts, 1)))), 0).astype(np.uint8)
+#: A known word keeps as rivals the words at most this much (log) below its own score.
+RIVAL = 7.0
 
 
 @dataclass
@@ -174,34 +56,15 @@ class Line:
 class Decoder:
     """The decoder of one task; remembers what it looked up."""
 
-    def __init__(self, sketch: np.ndarray):
-        self.bits = sketch
-        self.half = (len(sketch) >> 1) - 1
-        self.value = [0.0, *(2 ** ((q - 1) / 8) for q in range(1, 256))]
-        self.grams: dict[str, float] = {}
-        self.words: dict[str, float] = {}
-        self.fixes: dict[str, tuple[str, list[int]] | None] = {}
-        self.han = _han_table()
-        self.latin = _latin_table()
-        self.spot = re.compile("[" + "".join(self.han) + "]")
-
-    def _count(self, key: int) -> float:
-        return self.value[min(self.bits[key & self.half], self.bits[(key >> 32 & self.half) + self.half + 1])]
-
-    def gram(self, s: str) -> float:
-        got = self.grams.get(s)
-        if got is None:
-            x = 0
-            for c in s:
-                x = x << 21 | ord(c)
-            got = self.grams[s] = self._count(_mix(x))
-        return got
-
-    def word(self, kind: str, w: str) -> float:
-        got = self.words.get(kind + w)
-        if got is None:
-            got = self.words[kind + w] = self._count(_word_key(kind, w))
-        return got
+    def __init__(self, lm: Language, channel: Channel):
+        self.lm = lm
+        self.word = lm.word
+        self.channel = channel
+        self.found: dict[str, list[tuple[str, float, tuple[int, ...]]]] = {}
+        self.options: dict[str, tuple[bool, list[tuple[str, float, tuple[int, ...]]]]] = {}
+        self.best_han = max((p for options in channel.han.values() for _, p in options), default=0.0)
+        self.reads = np.zeros(0x110000, bool)
+        self.reads[[ord(c) for c in channel.han]] = True
 
     # margins -------------------------------------------------------------
 
@@ -210,12 +73,13 @@ class Decoder:
         best = 0.0
         for form in line_forms(line):
             at, inside = self.word(place, form), self.word("m", form)
-            if at >= (2 if form[0] == "w" else 3):
+            if at >= 3:
                 best = max(best, at / (at + inside + (self.word("b", form) if place == "t" else 0)))
         return best
 
     def mark_margins(self, pages: list[list[Line]]) -> None:
-        """Margins of whole pages: the first line and the last two of each."""
+        """Margins of whole pages: the first line of each, and its last lines as far as they are
+        running ones."""
         tops, folios = Counter(), Counter()
         edges = []
         for page in pages:
@@ -227,14 +91,15 @@ class Decoder:
             if _NUMBER.fullmatch(body[-1].text):
                 folios[self._offset(body[-1])] += 1
         for body in edges:
-            last = body[-1]
-            if len(body) > 1 and self._is_footer(last, folios, len(edges)):
-                last.margin = True
-                if len(body) > 2 and self.is_margin_form(body[-2].text, "b"):
-                    body[-2].margin = True
+            if len(body) > 1 and self._is_footer(body[-1], folios, len(edges)):
+                body[-1].margin = True
+                k = len(body) - 2
+                while k > 0 and self.is_margin_form(body[k].text, "b"):
+                    body[k].margin = True
+                    k -= 1
             first = body[0]
             whole = line_forms(first.text)[0]
-            if len(body) > 1 and (self.is_margin_form(first.text, "t") or tops[whole] > 1 and not _ENDED.search(first.text) and len(first.text) < 60 and self.word("m", whole) < self.word("t", whole)):
+            if len(body) > 1 and (self.is_margin_form(first.text, "t") or tops[whole] > 1 and not _ENDED.search(first.text) and self.word("m", whole) < self.word("t", whole)):
                 first.margin = True
 
     def _offset(self, line: Line) -> int:
@@ -248,11 +113,13 @@ class Decoder:
         return self.is_margin_form(line.text, "b") or self.is_margin_form(line.text, "t")
 
     def is_margin_form(self, text: str, place: str) -> bool:
-        return len(text.strip()) <= 60 and not _PROSE.search(text[m.end() :] if (m := _REVISION.match(text)) else text) and self.edge_share(text, place) >= 0.7
+        return not _PROSE.search(text[m.end() :] if (m := _REVISION.match(text)) else text) and self.edge_share(text, place) >= 0.7
 
     def mark_inner_margins(self, lines: list[Line]) -> None:
         """Margins inside a running text: known forms, and page numbers beside them or
-        inside a sentence."""
+        inside a sentence.  A text of one line runs past no margin: it is a heading."""
+        if sum(1 for x in lines if x.text.strip()) < 2:
+            return
         for i, x in enumerate(lines):
             inside = 0 < i < len(lines) - 1
             if x.text.strip() and (inside and _FOLIO.fullmatch(x.text) or self.is_margin_form(x.text, "t") or self.is_margin_form(x.text, "b")):
@@ -263,47 +130,44 @@ class Decoder:
 
     # words and characters ------------------------------------------------
 
-    def fix_word(self, w: str) -> tuple[str, list[int]] | None:
-        """The true word and the places of wrong characters in ``w``, if it was misread."""
-        if w in self.fixes:
-            return self.fixes[w]
-        low = w.lower()
-        have = self.word("x", low)
-        best: tuple[float, str, list[int]] | None = None
-        if len(w) >= 2 and len(w) <= 40:
-            tried = {w: []}
-            for depth in range(2):
-                fresh: dict[str, list[int]] = {}
-                for base, places in tried.items():
-                    for read, true in self.latin:
-                        at = base.find(read)
-                        while at >= 0:
-                            cand = base[:at] + true + base[at + len(read) :]
-                            # places refer to the word as read: a length change shifts what follows
-                            shift = len(w) - len(base)
-                            spots = [*places, *range(at + (shift if places and at > places[-1] else 0), at + len(read) + (shift if places and at > places[-1] else 0))]
-                            if cand not in tried and cand not in fresh:
-                                fresh[cand] = spots
-                                score = self.word("x", cand.lower()) * 0.004 ** (depth + 1)
-                                if score > 0 and (best is None or score > best[0]) and cand.isalpha():
-                                    best = (score, cand, spots)
-                            at = base.find(read, at + 1)
-                if best or len(fresh) > 400:
-                    break
-                tried = fresh
-        out = None
-        if best and best[0] > have and (have < 1 or len(w) > 2):
-            out = (best[1], sorted({min(p, len(w) - 1) for p in best[2]}))
-        if len(self.fixes) < 500_000:
-            self.fixes[w] = out
+    def rivals(self, w: str) -> list[tuple[str, float, tuple[int, ...]]]:
+        """Clean words that may have been read as ``w``: (word, log probability of the
+        reading at mean confidence, places of ``w`` read wrongly).  The search goes from left
+        to right and drops beginnings that no clean word has, so neither the length of a word
+        nor the number of its wrong segments is limited."""
+        got = self.found.get(w)
+        if got is not None:
+            return got
+        # per place: beginning -> (log probability, wrong places)
+        ways: list[dict[str, tuple[float, tuple[int, ...]]]] = [{} for _ in range(len(w) + 1)]
+        ways[0][""] = (0.0, ())
+        for i in range(len(w)):
+            for start, (score, spots) in ways[i].items():
+                options = [(w[i], 1, 0.0)]
+                for k in (1, 2):
+                    options += [(true, k, p) for true, p in self.channel.latin.get(w[i : i + k], ())] if i + k <= len(w) else []
+                for true, k, p in options:
+                    grown = start + true
+                    if (grown not in ways[i + k] or ways[i + k][grown][0] < score + p) and self.word("p", grown.lower()):
+                        ways[i + k][grown] = (score + p, spots if p == 0.0 else (*spots, *range(i, i + k)))
+        own = self.lm.word_score("", w)
+        out = [(c, p, spots) for c, (p, spots) in ways[len(w)].items() if spots and self.word("x", c.lower()) and p + self.lm.word_score("", c) > own - RIVAL]
+        if len(self.found) < 500_000:
+            self.found[w] = out
         return out
 
+    def fix_word(self, w: str) -> tuple[str, tuple[int, ...]] | None:
+        """The most probable true word of ``w`` by itself and the places read wrongly; None if
+        that is ``w``."""
+        best = max(self.rivals(w), key=lambda r: r[1] + self.lm.word_score("", r[0]), default=None)
+        return (best[0], best[2]) if best and best[1] + self.lm.word_score("", best[0]) > self.lm.word_score("", w) else None
+
     def splits_word(self, left: str, mark: str, right: str) -> bool:
         """Whether a line-end mark only parts a word."""
         if mark in _ALWAYS_SPLIT:
             return True
         a, b = re.search(r"[A-Za-zÀ-ɏ0-9]+$", left), re.match(r"[A-Za-zÀ-ɏ0-9]+", right)
-        if not a or not b or _HAN.search(right[:1]):
+        if not a or not b or HAN.search(right[:1]):
             return False
         l, r = a.group(), b.group()
         before = left[: a.start()]
@@ -359,7 +223,7 @@ class Decoder:
                 elif self.splits_word(text[:-1], text[-1], nxt):
                     x.faults.add(HYPHEN)
                     text = text[:-1]
-            elif nxt is not None and not (_HAN.search(text[-1]) or _HAN.search(nxt[0]) or text[-1] in "，。；：、！？（）" or nxt[0] in "，。；：、！？）"):
+            elif nxt is not None and not (HAN.search(text[-1]) or HAN.search(nxt[0]) or text[-1] in "，。；：、！？（）" or nxt[0] in "，。；：、！？）"):
                 glue = " "
             stream += text
             owner += [x] * len(text)
@@ -367,83 +231,137 @@ class Decoder:
                 stream.append(glue)
                 owner.append(None)
         raw = "".join(stream)
-        self._decode_han(raw, stream, owner, confidence)
-        raw = "".join(stream)
+        changed = self._viterbi(raw, band(confidence))
         out = [*stream]
-        for m in _WORD.finditer(raw):
-            w = m.group()
-            if len(w) < 2 or w.isdigit():
-                continue
-            if re.fullmatch(r"[0-9lO]+", w) and re.search("[0-9]", w) and not w.endswith("lx"):
-                # a numeral with letters in it
-                spots = [k for k, c in enumerate(w) if c in "lO"]
-                fixed = w.replace("l", "1").replace("O", "0")
-            else:
-                if raw[m.start() - 1 : m.start()] in ("-", "/") and re.search(r"[A-Z0-9]", raw[m.start() - 2 : m.start() - 1]) or _CODE.fullmatch(w) or re.match(r"[A-Z]{1,3}\d", w):
-                    continue
-                if re.match(r"-\d", raw[m.end() : m.end() + 2]) and w.isupper():
-                    continue
-                unit = re.match(r"[0-9]+", w)
-                base = unit.end() if unit and len(w) - unit.end() >= 1 and (self.word("x", w[unit.end() :].lower()) or len(w) - unit.end() <= 3) else 0
-                if len(w) - base < 2:
-                    continue
-                got = self.fix_word(w[base:])
-                if not got:
-                    continue
-                fixed, spots = w[:base] + got[0], [p + base for p in got[1]]
+        for at, end, text, spots in changed:
             for k in spots:
-                if (x := owner[m.start() + k]) is not None:
+                if (x := owner[k]) is not None:
                     x.faults.add(MISREAD)
-            out[m.start() : m.end()] = [fixed, *[""] * (len(w) - 1)]
+            out[at:end] = [text, *[""] * (end - at - 1)]
         return "".join(out)
 
-    def _decode_han(self, raw: str, stream: list[str], owner: list[Line | None], confidence: float | None) -> None:
-        ctx = _mapped(raw)
-        spots = [m.start() for m in self.spot.finditer(ctx)]
-        wrong = log(max(1 - (0.85 if confidence is None else confidence), 0.02) / 4)
-        i = 0
-        while i < len(spots):
-            # spots closer than three characters influence each other: one trellis
-            j = i
-            while j + 1 < len(spots) and spots[j + 1] - spots[j] < 3:
+    def _numeral(self, w: str) -> str | None:
+        """A numeral with letters in it, as digits."""
+        if re.fullmatch(r"[0-9lO]+", w) and re.search("[0-9]", w) and not w.endswith("lx"):
+            return w.replace("l", "1").replace("O", "0")
+        return None
+
+    def _digits(self, w: str) -> int:
+        """Length of the number that stands before a unit."""
+        unit = re.match(r"[0-9]+", w)
+        return unit.end() if unit and (self.word("x", w[unit.end() :].lower()) or len(w) - unit.end() <= 3) else 0
+
+    def _own_options(self, w: str) -> tuple[bool, list[tuple[str, float, tuple[int, ...]]]]:
+        """Whether other characters beside it can exempt a word, and its candidates, the word
+        itself first."""
+        same = (w, 0.0, ())
+        if len(w) < 2 or w.isdigit():
+            return False, [same]
+        fixed = self._numeral(w)
+        if fixed:
+            return False, [(fixed, 0.0, tuple(k for k, c in enumerate(w) if c in "lO"))] if fixed != w else [same]
+        base = self._digits(w)
+        if len(w) - base < 2 or CODE.fullmatch(w) or re.match(r"[A-Z]{1,3}\d", w):
+            return False, [same]
+        return True, [same, *((w[:base] + c, p, tuple(k + base for k in spots)) for c, p, spots in self.rivals(w[base:]))]
+
+    def _word_options(self, raw: str, at: int, w: str, rate: float) -> list[tuple[str, float, tuple[int, ...]]]:
+        """Candidates of a word in its place."""
+        got = self.options.get(w)
+        if got is None:
+            got = self._own_options(w)
+            if len(self.options) < 500_000:
+                self.options[w] = got
+        exempt, out = got
+        if not exempt or len(out) == 1:
+            return out
+        end = at + len(w)
+        before, after = raw[at - 1 : at] if at else "", raw[end : end + 1]
+        part = before.isalpha() and not HAN.match(before) or after and (after.isalpha() and not HAN.match(after) or ud.combining(after))
+        code = before in ("-", "/") and before and re.search(r"[A-Z0-9]", raw[max(0, at - 2) : at - 1]) or w.isupper() and re.match(r"-\d", raw[end : end + 2])
+        return out[:1] if part or code else [out[0], *((c, p + rate * len(spots), spots) for c, p, spots in out[1:])]
+
+    def _han_spots(self, raw: str) -> set[int]:
+        """Places whose character may be misread: no other path can win where the text as read
+        is more probable than the most probable misread."""
+        cps = code_points([mapped(raw)])[0]
+        reads = self.reads[cps]
+        if not reads.any():
+            return set()
+        steps = np.concatenate([self.lm.steps(cps), [0.0, 0.0]])
+        through = steps[:-2] + steps[1:-1] + steps[2:]
+        return set(np.flatnonzero(reads & (through < self.best_han + 1.0)).tolist())
+
+    def _viterbi(self, raw: str, at_band: int) -> list[tuple[int, int, str, list[int]]]:
+        """Changes (start, end, text, wrong places) of the most probable reading of ``raw``.
+        Tokens with one candidate decide nothing two tokens away, so each run of undecided
+        tokens is decoded with its neighbours."""
+        rate_h, rate_l = (self.channel.rate[s].get(at_band, 0.0) for s in ("han", "latin"))
+        options: dict[int, list[tuple[str, float, tuple[int, ...]]]] = {}
+        changed = []
+        for at in self._han_spots(raw):
+            options[at] = [(raw[at], 0.0, ()), *((true, p + rate_h, (0,)) for true, p in self.channel.han[raw[at]])]
+        for m in _WORD.finditer(raw):
+            w, at = m.group(), m.start()
+            if len(w) > 1:
+                got = self._word_options(raw, at, w, rate_l)
+                if len(got) > 1:
+                    options[at] = got
+                elif got[0][0] != w:
+                    changed.append((at, at + len(w), got[0][0], [at + k for k in got[0][2]]))
+        starts, i = sorted(options), 0
+        while i < len(starts):
+            j, end = i, starts[i] + len(options[starts[i]][0][0])
+            while j + 1 < len(starts) and self._tokens(raw, end, 3, starts[j + 1])[1] == starts[j + 1]:
                 j += 1
-            lo, hi = spots[i], spots[j] + 1
-            left = ("\n\n" + ctx[max(0, lo - 2) : lo])[-2:]
-            right = (ctx[hi : hi + 2] + "\n\n")[:2]
-            choices = [[(c, 0.0), *((t, wrong) for t in self.han[c])] if p in spots[i : j + 1] and c in self.han else [(c, 0.0)] for p, c in zip(range(lo, hi), ctx[lo:hi])]
-            choices += [[(c, 0.0)] for c in right]
-            states: dict[str, tuple[float, str]] = {left: (0.0, "")}
-            for options in choices:
-                step: dict[str, tuple[float, str]] = {}
-                for state, (score, path) in states.items():
-                    for c, cost in options:
-                        new = score + cost + self._step(state, c)
-                        key = state[1] + c
-                        if key not in step or new > step[key][0] + 1e-9:
-                            step[key] = (new, path + c)
-                states = step
-            best = max(states.values())[1]
-            for k in range(hi - lo):
-                if best[k] != ctx[lo + k]:
-                    stream[lo + k] = best[k]
-                    if (x := owner[lo + k]) is not None:
-                        x.faults.add(MISREAD)
+                end = starts[j] + len(options[starts[j]][0][0])
+            run, _ = self._tokens(raw, starts[i], len(raw), end)
+            after, _ = self._tokens(raw, end, 2, len(raw))
+            for (at, t), choice in zip(run, self._decode_run(raw, run + after, options, len(run))):
+                if choice[0] != t:
+                    changed.append((at, at + len(t), choice[0], [at + k for k in choice[2]]))
             i = j + 1
-
-    def _step(self, state: str, c: str) -> float:
-        """log P(c | state): trigram, bigram and unigram counts, interpolated."""
-        if not (_HAN.match(c) or _HAN.match(state[1]) or _HAN.match(state[0])):
-            return 0.0
-        n3, n2 = self.gram(state + c), self.gram(state[1] + c) if _HAN.match(c) or _HAN.match(state[1]) else 0.0
-        h2 = self.gram(state) if _HAN.match(state[0]) or _HAN.match(state[1]) else 0.0
-        h1 = self.gram(state[1]) if _HAN.match(state[1]) else 0.0
-        p = 0.9 * n3 / max(h2, n3, 20.0) + 0.09 * n2 / max(h1, n2, 200.0) + 1e-6 * min(self.gram(c) if _HAN.match(c) else 50.0, 1000.0) / 1000.0 + 1e-9
-        return log(p)
-
-
-def _analyse(decoder_of, schema_names: list[str]):
+        return changed
+
+    @staticmethod
+    def _tokens(raw: str, at: int, most: int, end: int) -> tuple[list[tuple[int, str]], int]:
+        """Up to ``most`` tokens from ``at`` to before ``end``, and where they stop."""
+        out = []
+        while at < end and len(out) < most:
+            m = _TOKEN.match(raw, at)
+            out.append((at, m.group()))
+            at = m.end()
+        return out, at
+
+    def _decode_run(self, raw, tokens, options, many: int) -> list[tuple[str, float, tuple[int, ...]]]:
+        first = tokens[0][0]
+        left = mapped(("\n\n" + raw[max(0, first - 2) : first])[-2:])
+        before = _BEFORE.search(raw[max(0, first - 60) : first])
+        before = before.group(1).lower() if before else ""
+        # state: the last two characters and the last word of the path
+        states: dict[tuple[str, str], tuple[float, tuple]] = {(left, before): (0.0, ())}
+        for n, (at, t) in enumerate(tokens):
+            new: dict[tuple[str, str], tuple[float, tuple]] = {}
+            for choice in options.get(at, [(t, 0.0, ())]) if n < many else [(t, 0.0, ())]:
+                c = mapped(choice[0])
+                word = len(c) > 1 and c[0].isalnum() or c.isascii() and c.isalpha()
+                for (state, last), (score, path) in states.items():
+                    if word:
+                        gain = 0.0 if choice[0].isdigit() else self.lm.word_score(last, choice[0][self._digits(t) :])
+                        key = (c[-2:] if len(c) > 1 else state[1] + c, choice[0].lower())
+                    else:
+                        gain = self.lm.step(state, c[-1])
+                        key = ((state + c)[-2:], last if c == " " else "")
+                    total = score + gain + choice[1]
+                    if key not in new or total > new[key][0] + 1e-9:
+                        new[key] = (total, (*path, choice))
+            states = new
+        return list(max(states.values(), key=lambda v: v[0])[1][:many])
+
+
+def _analyse(model, channel, schema_names: list[str]):
     def analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(decoder_of.value)
+        decoder = Decoder(Language(model.value), channel.value)
         for batch in batches:
             rows = []
             for origin, row_id, confidence, pages in zip(*(batch.column(i).to_pylist() for i in range(4))):
@@ -471,34 +389,48 @@ def scanned_rows(ocr_results: DataFrame, units: DataFrame) -> DataFrame:
     page = "array<struct<text:string,page_number:int>>"
     ocr = ocr_results.where("ocr_id is not null").groupBy("ocr_id").agg(F.max_by(F.struct("document_version_id", "mean_confidence", "blocks"), F.struct("extracted_at")).alias("r"))
     results = ocr.select(
-        F.lit("ocr_results").alias("origin"), F.col("ocr_id").alias("row_id"), F.col("r.mean_confidence").alias("confidence"),
+        F.lit("ocr_results").alias("origin"), F.col("ocr_id").alias("row_id"), F.col("r.mean_confidence").cast("double").alias("confidence"),
         F.transform("r.blocks", lambda b: F.struct(b["text"].alias("text"), b["page_number"].alias("page_number"))).cast(page).alias("pages"),
     )
-    versions = ocr_results.where("document_version_id is not null").groupBy("document_version_id").agg(F.min("mean_confidence").alias("confidence"))
-    broken = units.where("unit_id is not null and text like '%\n%'").groupBy("unit_id").agg(F.max_by(F.struct("document_version_id", "text", "page_number"), F.struct("loaded_at")).alias("u"))
-    texts = broken.select("unit_id", "u.*").join(versions, "document_version_id").select(
+    versions = ocr_results.where("document_version_id is not null").groupBy("document_version_id").agg(F.min("mean_confidence").cast("double").alias("confidence"))
+    of_scans = units.where("unit_id is not null").select("unit_id", "document_version_id", "text", "page_number", "loaded_at").join(versions, "document_version_id")
+    once = of_scans.groupBy("unit_id").agg(F.max_by(F.struct("confidence", "text", "page_number"), F.struct("loaded_at")).alias("u"))
+    texts = once.select("unit_id", "u.*").select(
         F.lit("units").alias("origin"), F.col("unit_id").alias("row_id"), "confidence", F.array(F.struct("text", F.col("page_number").cast("int").alias("page_number"))).cast(page).alias("pages")
     )
     return results.unionByName(texts)
 
 
+def learn(ocr_results: DataFrame, units: DataFrame, rows: DataFrame) -> tuple[np.ndarray, Channel]:
+    """Language model of the units of versions that were not scanned, and the channel that
+    the scanned ``rows`` show against them."""
+    spark = units.sparkSession
+    scans = ocr_results.where("document_version_id is not null").select("document_version_id").distinct()
+    clean = units.where("text is not null").select("document_version_id", "text").join(scans, "document_version_id", "left_anti").select("text")
+    texts = rows.select("origin", "confidence", F.explode("pages").alias("p")).select("origin", "confidence", F.col("p.text").alias("text"))
+    # only whole pages show where the edge of a page is
+    model = language_model(clean, texts.where("origin = 'ocr_results'").select("text"))
+    sent = spark.sparkContext.broadcast(model)
+    table = materialize(confusion_table(clean, texts.select("text", "confidence"), sent), "scan-channel")
+    return model, learn_channel(table, model)
+
+
 def repair_scans(ocr_results: DataFrame, units: DataFrame) -> DataFrame:
     """(origin, row_id, repaired, faults) of every OCR result and every unit of a scanned
-    version that has line breaks.
+    version.
 
     ``repaired`` joins the body lines into paragraphs with whole words and corrected
-    characters; ``faults`` lists (page_number, line_no, fault).  Units without line
-    breaks were never wrapped: they are the clean text of the language model.  Null
-    blocks and texts are empty.
+    characters; ``faults`` lists (page_number, line_no, fault).  Null blocks and texts are
+    empty.  What a scan says is compared with the units of all other versions: without any
+    of them no misread can be known.
     """
-    # a result delivered again must not make its lines look like running ones
-    once = ocr_results.where("ocr_id is not null").groupBy("ocr_id").agg(F.max_by("blocks", F.struct("extracted_at")).alias("blocks"))
-    pages = once.select(F.explode("blocks").alias("b")).select(F.col("b.text").alias("text"))
-    sketch = units.sparkSession.sparkContext.broadcast(language_model(units.where("text not like '%\n%'").select("text"), pages))
-    names = ["origin", "row_id", "repaired", "faults"]
+    spark = units.sparkSession
     # decoding is work for the CPU, not for the shuffle: keep all tasks busy however few bytes
-    rows = scanned_rows(ocr_results, units).repartition(shuffle_partitions(units.sparkSession), "row_id")
-    return rows.mapInArrow(_analyse(sketch, names), "origin string, row_id string, repaired string, faults array<struct<page_number:int,line_no:int,fault:string>>")
+    rows = materialize(scanned_rows(ocr_results, units).repartition(shuffle_partitions(spark), "row_id"), "scanned-rows")
+    model, channel = learn(ocr_results, units, rows)
+    names = ["origin", "row_id", "repaired", "faults"]
+    decode = _analyse(spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(channel), names)
+    return rows.mapInArrow(decode, "origin string, row_id string, repaired string, faults array<struct<page_number:int,line_no:int,fault:string>>")
 
 
 def found_faults(repairs: DataFrame) -> DataFrame:
