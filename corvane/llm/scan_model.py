@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.storage import materialize
 from corvane.llm.sketches import collect_counts, pieces
 from corvane.llm.tokens import code_points, mix64
 
@@ -292,20 +293,22 @@ def _latin_evidence(clean: DataFrame, pages: DataFrame) -> DataFrame:
     read null), and how often clean words hold a segment (read null)."""
     letters = r"A-Za-z\x{00c0}-\x{024f}"
     words = clean.where("text is not null").select(F.explode(F.regexp_extract_all("text", F.lit(f"[{letters}]+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("times"))
+    # distinct words feed several joins: written once, small beside the texts
+    words = materialize(words, "scan-words")
     lower = words.select(F.lower("word").alias("low")).distinct()
     # both halves of a word that a line end parts are no words
     whole = F.regexp_replace("text", rf"[{letters}0-9]+[-\x{{2010}}\x{{2011}}\x{{00ac}}\x{{00ad}}]\s*\n\s*[{letters}0-9]*", " ")
     read = pages.where("text is not null").select("band", F.explode(F.regexp_extract_all(whole, F.lit(f"[{letters}0-9]+"), F.lit(0))).alias("word")).where(F.col("word").rlike(f"[{letters}]"))
-    read = read.groupBy("word", "band").agg(F.count("*").alias("n"))
+    read = materialize(read.groupBy("word", "band").agg(F.count("*").alias("n")), "scan-words")
     unknown = read.join(lower, F.lower("word") == F.col("low"), "left_anti").withColumnRenamed("word", "as_read")
     got = _segments(unknown, "as_read").withColumnRenamed("segment", "read")
     true = _segments(words, "word").withColumnRenamed("segment", "meant")
     both = got.join(true, "key").where((F.col("read") != F.col("meant")) & (F.left("read", F.lit(1)) != F.left("meant", F.lit(1))) & (F.right("read", F.lit(1)) != F.right("meant", F.lit(1))))
     # a word read is shared among the words it may have been: by their counts, and first
     # among those that differ in fewest letters
-    both = both.withColumn("part", F.col("times") * F.pow(F.lit(100.0), -F.length("read") - F.length("meant")))
+    both = materialize(both.select("as_read", "band", "n", "meant", "read", "times"), "scan-words").withColumn("part", F.col("times") * F.pow(F.lit(100.0), -F.length("read") - F.length("meant")))
     share = both.groupBy("as_read", "band").agg(F.sum("part").alias("all"))
-    pairs = both.join(share, ["as_read", "band"]).groupBy("meant", "read", "band", "as_read").agg(F.sum(F.col("n") * F.col("part") / F.col("all")).alias("n"))
+    pairs = materialize(both.join(share, ["as_read", "band"]).groupBy("meant", "read", "band", "as_read").agg(F.sum(F.col("n") * F.col("part") / F.col("all")).alias("n")), "scan-words")
     often = pairs.where("n > 0.5").groupBy("meant", "read").agg(F.count_distinct("as_read").alias("words")).where(F.col("words") >= LEAST_WORDS)
     pairs = pairs.groupBy("meant", "read", "band").agg(F.sum("n").alias("n")).join(often.select("meant", "read"), ["meant", "read"])
     none = F.lit(None).cast("string")
