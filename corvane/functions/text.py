@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Question and connective words that carry no content.
-STOP_TERMS = "什么 哪些 如何 怎么 是否 根据 依据 回答 引用 请问 以及 其中 一个 这个".split()
+STOP_TERMS = ["什么", "哪些", "如何", "怎么", "是否", "根据", "依据", "回答", "引用", "请问", "以及", "其中", "一个", "这个"]
 # Patterns of tokens and locators.
 CJK_RUN = r"[\x{3400}-\x{9fff}]+"
 LATIN_TOKEN = r"[A-Za-z0-9_][A-Za-z0-9_.-]*"
@@ -24,11 +24,26 @@ CANONICAL = r"(?Ui)\b(?:clause|chapter|step):\d+\b|\bcode:[a-z][a-z0-9_.-]{2,}\b
 
 
 @F.pandas_udf(StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    """Compatibility composition of each text; null stays null."""
+def _composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+# full-width signs and the ideographic blank, which are their ASCII sign whatever follows
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000"
+_NARROW = "".join(map(chr, range(0x21, 0x7F))) + " "
+# characters that are their own compatibility form beside each other: none combines
+_STEADY = r"[\x{0}-\x{7f}\x{c0}-\x{131}\x{134}-\x{13e}\x{141}-\x{148}\x{14a}-\x{17e}\x{2013}-\x{2016}\x{2018}-\x{201f}\x{3001}-\x{3029}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]"
+
+
+def nfkc(text: Column | str) -> Column:
+    """Compatibility composition of a text; null stays null.  Texts whose characters are
+    all steady or full-width are done in the JVM, only the others go to Python."""
+    text = F.col(text) if isinstance(text, str) else text
+    narrow = F.translate(text, _WIDE, _NARROW)
+    steady = narrow.rlike(f"^{_STEADY}*$")
+    return F.when(steady, narrow).otherwise(_composed(F.when(~steady, text)))
+
+
 def normal(text: Column) -> Column:
     """Normal form for matching: NFKC, lower case."""
     return F.lower(nfkc(text))
@@ -46,7 +61,7 @@ def numeral_value(value: Column) -> Column:
     the large units are summed; a unit without a digit before it counts once.
     """
     value = F.trim(value)
-    digits = F.translate(value, "零〇一二两三四五六七八九", "0012" + "23456789")
+    digits = F.translate(value, "零〇一二两三四五六七八九", "001223456789")
     zero = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("section"), F.lit(0).cast("long").alias("number"), F.lit(True).alias("ok"))
 
     def at_least_one(x: Column) -> Column:

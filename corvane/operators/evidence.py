@@ -7,11 +7,23 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import content_terms, exact_anchors, normal, spaced
 
-# Cue words.
-ENTITIES = "自然人 法人 非法人组织 民事主体 成年人 未成年人 被监护人 监护人 胎儿".split()
-TEMPORAL = {"start": "出生时 开始 起算 生效 自成立时 自登记时 之日起".split(), "end": "死亡时 终止 届满 失效 注销时 清算结束 时止".split()}
-MODALITY = {"prohibited": "不得 禁止 严禁 不应".split(), "required": "应当 必须 须 有义务".split(), "exception": "但是 除外 除非 例外".split(), "conditional": "如果 若 在下列情形 符合条件".split(), "permitted": "可以 有权 允许".split()}
-ASKED_TIMES = {"start": "何时开始 什么时候开始 起始时间 从何时".split(), "end": "何时终止 什么时候终止 终止时间 到何时".split()}
+# Cue words, and the patterns of requests.
+ENTITIES = ["自然人", "法人", "非法人组织", "民事主体", "成年人", "未成年人", "被监护人", "监护人", "胎儿"]
+TEMPORAL = {
+    "start": ["出生时", "开始", "起算", "生效", "自成立时", "自登记时", "之日起"],
+    "end": ["死亡时", "终止", "届满", "失效", "注销时", "清算结束", "时止"],
+}
+MODALITY = {
+    "prohibited": ["不得", "禁止", "严禁", "不应"],
+    "required": ["应当", "必须", "须", "有义务"],
+    "exception": ["但是", "除外", "除非", "例外"],
+    "conditional": ["如果", "若", "在下列情形", "符合条件"],
+    "permitted": ["可以", "有权", "允许"],
+}
+ASKED_TIMES = {
+    "start": ["何时开始", "什么时候开始", "起始时间", "从何时"],
+    "end": ["何时终止", "什么时候终止", "终止时间", "到何时"],
+}
 INTENTS = {
     "troubleshooting": ["错误", "故障", "排查", "error", "fault"],
     "procedure": ["步骤", "操作", "如何", "how to", "procedure"],

@@ -352,7 +352,7 @@ def repeated_margins(spark: SparkSession, folder: str) -> DataFrame:
 
 @_add()
 def line_repair(spark: SparkSession, folder: str) -> DataFrame:
-    return _pages(spark, folder).select("doc_id", "page_number", F.array_join(structure.reflowed_lines(F.col("text")), "\n").alias("text"))
+    return _pages(spark, folder).select("doc_id", "page_number", structure.reflowed(F.col("text")).alias("text"))
 
 
 @_add()

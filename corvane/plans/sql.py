@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import unicodedata
 
+from corvane.functions.text import STOP_TERMS
+
 #: White space as the engine sees it.
 BLANK = r"[\s\x{000b}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 CJK = r"\x{3400}-\x{9fff}"
-STOPS = "什么 哪些 如何 怎么 是否 根据 依据 回答 引用 请问 以及 其中 一个 这个".split()
+STOPS = STOP_TERMS
 NUMERAL = "零〇一二两三四五六七八九十百千万亿0-9"
 #: Compatibility forms that occur in the test tables.
 FORMS = {"℃": "°C", "㎜": "mm", "㎏": "kg", "ﬁ": "fi", "ﬀ": "ff", "ﬂ": "fl", "…": "...", "²": "2", "³": "3", "①": "1", "②": "2", "③": "3", "④": "4", "⑤": "5", "⑥": "6", "⑦": "7", "⑧": "8", "⑨": "9", "Ω": "Ω", "µ": "μ", "¨": " ̈", "ª": "a", "¯": " ̄", "´": " ́", "¸": " ̧", "¹": "1", "º": "o", "¼": "1⁄4", "½": "1⁄2", "¾": "3⁄4", "‑": "‐"}

@@ -209,8 +209,35 @@ def test_offsets_resolve_to_block_text(spark):
     assert all(joined[b["start_offset"] : b["end_offset"]] == b["text"] for b in blocks) and len(blocks) == 3
 
 
-def test_line_repair():
-    assert structure.join_page_lines(["（一）", "第一款", "内容很长的一行", "继续", "。", "1.", "New item", "wrapped line", "more"]) == ["（一）第一款内容很长的一行继续。", "1.New item wrapped line more"]
+def test_line_repair(spark):
+    pages = {
+        "marks": ("（ 一 ）\n第一款\n\n 内容很长的一行\n继续\n。\n1.\nNew item\nwrapped line\nmore", "（一）第一款内容很长的一行继续。\n1.New item wrapped line more"),
+        "short": ("ab\ncd\nefgh\nij\nkl", "ab\ncd\nefgh ij kl"),
+        "opens": ("the pump runs\n步骤 2\nstops\nx\nDone!\nnext", "the pump runs\n步骤 2 stops\nx\nDone!\nnext"),
+        "open mark": ("text\n1.", "text\n1."),
+        "null": (None, ""),
+        "empty": (" \n ", ""),
+    }
+    got = spark.createDataFrame([(k, v[0]) for k, v in pages.items()], "k string, t string").select("k", structure.reflowed(F.col("t")).alias("t")).collect()
+    assert {r["k"]: r["t"] for r in got} == {k: v[1] for k, v in pages.items()}
+
+
+def test_short_drafts_join_a_neighbour():
+    unit = lambda n, tokens, kind="step", path=("h",), key=None: chunking._Unit(n, "x", kind, path, 0, tokens, "", key, "x")
+    draft = lambda *units, reason="adaptive_score_split": chunking._Draft(list(units), reason)
+    merged = lambda *drafts: [[u.no for u in d.units] for d in chunking._absorb_short(list(drafts), chunking.Bounds(10, 20, 40))]
+    # two short neighbouring steps merge, a pair is not extended to the right
+    assert merged(draft(unit(0, 4)), draft(unit(1, 4)), draft(unit(2, 4))) == [[0, 1, 2]]
+    assert merged(draft(unit(0, 4)), draft(unit(1, 4)), draft(unit(2, 14))) == [[0, 1], [2]]
+    # kinds that stand apart merge with their like only
+    assert merged(draft(unit(0, 4, "warning")), draft(unit(1, 4))) == [[0], [1]]
+    assert merged(draft(unit(0, 4, "warning")), draft(unit(1, 4, "warning"))) == [[0, 1]]
+    # hard reasons, other keys and parents, and the most tokens part drafts
+    assert merged(draft(unit(0, 4), reason="max_tokens"), draft(unit(1, 4))) == [[0], [1]]
+    assert merged(draft(unit(0, 4, key="a")), draft(unit(1, 4, key="b"))) == [[0], [1]]
+    assert merged(draft(unit(0, 4)), draft(unit(1, 14, path=("k",)))) == [[0], [1]]
+    assert merged(draft(unit(0, 4)), draft(unit(1, 38))) == [[0], [1]]
+    assert chunking._absorb_short([], chunking.Bounds()) == []
 
 
 def test_margins_need_three_pages(spark):
