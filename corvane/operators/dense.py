@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,37 @@ def cosine(left: Column, right: Column) -> Column:
     return F.when(same, F.coalesce(F.try_divide(dot, F.sqrt(squared(left)) * F.sqrt(squared(right))), F.lit(0.0))).otherwise(0.0)
 
 
-def _search(block, ids: list, k: int):
+def character_vectors(texts: list[str]) -> np.ndarray:
+    """A deterministic stand-in for an embedding model: 16 numbers, of which the first 15
+    count the characters by (code point + place) modulo 15 and the last is 1."""
+    out = np.ones((len(texts), 16))
+    for i, t in enumerate(texts):
+        cps = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        out[i, :15] = np.bincount((cps + np.arange(len(cps))) % 15, minlength=15)
+    return out
+
+
+def embed(rows: DataFrame, key: str, text: str, model: Callable[[list[str]], np.ndarray] = character_vectors, batch: int = 32) -> DataFrame:
+    """(key, embedding) of every row with a text, by a model called on ``batch`` texts at a
+    time.  A batch must give as many vectors as it has texts, finite and all of one width."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = None
+        for part in batches:
+            texts, out = part.column(1).to_pylist(), []
+            for a in range(0, len(texts), batch):
+                got = np.asarray(model(texts[a : a + batch]), float)
+                if got.ndim != 2 or len(got) != len(texts[a : a + batch]) or not np.isfinite(got).all() or got.shape[1] != (width or got.shape[1]):
+                    raise ValueError("the model gave other vectors than asked for")
+                width = got.shape[1]
+                out += got.tolist()
+            yield pa.RecordBatch.from_pydict({key: part.column(0), "embedding": pa.array(out, pa.list_(pa.float64()))})
+
+    return rows.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text).mapInArrow(run, f"`{key}` {kind}, embedding array<double>")
+
+
+def _search(block, ids: list, k: int, kinds: tuple[pa.DataType, pa.DataType]):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = block.value
         best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -46,7 +76,7 @@ def _search(block, ids: list, k: int):
             best[:] = [(who[keep], key[keep], score[keep])]
 
         for batch in batches:
-            key = batch.column(0).to_numpy(zero_copy_only=False)
+            key = np.asarray(batch.column(0).to_pylist())
             column = batch.column(1)
             m = np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(key), -1)
             scores = np.round(m @ q.T, 6)
@@ -59,26 +89,29 @@ def _search(block, ids: list, k: int):
         if best:
             shrink()
             who, key, score = best[0]
-            yield pa.RecordBatch.from_pydict({"query_id": pa.array([ids[w] for w in who], pa.int64()), "id": pa.array(key, pa.int64()), "score": pa.array(score, pa.float64())})
+            yield pa.RecordBatch.from_pydict({"query_id": pa.array([ids[w] for w in who], kinds[0]), "id": pa.array(key.tolist(), kinds[1]), "score": pa.array(score, pa.float64())})
 
     return search
 
 
 def dense_search(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """(query_id, id, score, rank): exact inner products of unit vectors, rounded to six
-    places.  ``vectors``: id bigint, embedding; ``queries``: query_id bigint, embedding.
+    places.  ``vectors``: id, embedding; ``queries``: query_id, embedding (ids: bigint or string).
     Every query is held against all vectors with one matrix product per batch; each
     task keeps its best, so only ``limit`` rows per query and task are shuffled.  Zero
     and null vectors match nothing; vectors must have the queries' length."""
     spark = vectors.sparkSession
     unit = vectors.select("id", normalized(F.col("embedding")).alias("v")).where("v is not null and id is not null")
     out, block, size = None, [], 0
+    names = [queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()]
+    kinds = tuple({"string": pa.string(), "int": pa.int32()}.get(n, pa.int64()) for n in names)
+    schema = f"query_id {names[0]}, id {names[1]}, score double"
 
     def of_block() -> DataFrame:
         ids = [r["query_id"] for r in block]
         sent = spark.sparkContext.broadcast(np.array([r["v"] for r in block], float))
         width = len(block[0]["v"])
-        return unit.where(F.size("v") == width).mapInArrow(_search(sent, ids, limit), "query_id bigint, id bigint, score double")
+        return unit.where(F.size("v") == width).mapInArrow(_search(sent, ids, limit, kinds), schema)
 
     for row in queries.select("query_id", normalized(F.col("embedding")).alias("v")).where("v is not null").orderBy("query_id").toLocalIterator():
         if block and (size > QUERY_BLOCK_BYTES or len(block[0]["v"]) != len(row["v"])):
@@ -90,7 +123,7 @@ def dense_search(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFram
         part = of_block()
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = spark.createDataFrame([], "query_id bigint, id bigint, score double")
+        out = spark.createDataFrame([], schema)
     return rank(out, "query_id", "id", "score", limit)
 
 

@@ -1,10 +1,17 @@
-"""Inverted index and BM25 search."""
+"""Inverted index and BM25 search over a built index.
+
+An index is made once per population of entries and read by every search: postings,
+sorted by term and carrying what a hit needs, locators, and the statistics.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.storage import materialize, scratch
 from corvane.functions.text import exact_anchors, lexical_tokens, normal
 
 K1, B = 1.5, 0.75
@@ -44,35 +51,80 @@ def rank(scored: DataFrame, group: str, key: str, score: str, limit: int, name:
     return scored.withColumn(name, F.row_number().over(w)).where(F.col(name) <= limit)
 
 
-def bm25(entries: DataFrame, queries: DataFrame, limit: int, allowed: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, score, rank) of the best entries per query.
+@dataclass(frozen=True)
+class LexicalIndex:
+    """postings (term, id, tf, dl, source_id), locators (locator, id, source_id), terms
+    (term, df, cf) and totals (n, tokens), as read from their tables."""
+
+    postings: DataFrame
+    locators: DataFrame
+    terms: DataFrame
+    totals: DataFrame
+
+
+_PARTS = ("postings", "locators", "terms", "totals")
+
+
+def write_lexical_index(entries: DataFrame, folder: str) -> None:
+    """Index of entries (id, text, section_number and, if there, source_id) as four tables.
+
+    Postings are range-partitioned and sorted by term, so that a search reads the files and
+    row groups of its terms only; a frequent term spreads over several ranges by id."""
+    spark = entries.sparkSession
+    source = F.col("source_id") if "source_id" in entries.columns else F.lit(None).cast("string")
+    plain = entries.where("id is not null").select("id", normal(F.col("text")).alias("text"), normal(F.col("section_number")).alias("section"), source.alias("source_id"))
+    # an entry is tokenised once: counts per term and the length are made inside its row
+    counted = plain.select("id", "source_id", lexical_tokens(F.col("text")).alias("t")).select("id", "source_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    posting = counted.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("source_id").alias("source_id"))
+    posting.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{folder}/postings")
+    stored = spark.read.parquet(f"{folder}/postings")
+    term_statistics(stored).sort("term").write.mode("overwrite").parquet(f"{folder}/terms")
+    named = F.when(F.length("section") > 0, F.col("section")).otherwise(F.col("text"))
+    located = plain.select(F.explode(F.filter(exact_anchors(named), lambda x: x.rlike(LOCATOR))).alias("locator"), "id", "source_id")
+    located.repartitionByRange("locator", "id").sortWithinPartitions("locator").write.mode("overwrite").parquet(f"{folder}/locators")
+    totals = plain.agg(F.count("*").alias("n")).crossJoin(stored.agg(F.sum("tf").alias("tokens")))
+    totals.write.mode("overwrite").parquet(f"{folder}/totals")
 
-    ``entries``: id, text, section_number.  Statistics cover all entries; ``allowed``
-    (query_id, id), if given, only restricts the result.  A locator of the query that
-    the entry's section number (its text, where it has none) names adds a bonus, also
-    without any common term.  Scores are rounded to six places before ranking.
+
+def read_lexical_index(spark: SparkSession, folder: str) -> LexicalIndex:
+    return LexicalIndex(*(spark.read.parquet(f"{folder}/{part}") for part in _PARTS))
+
+
+def bm25_search(index: LexicalIndex, queries: DataFrame, limit: int, scopes: DataFrame | None = None, most_terms: int = 500_000) -> DataFrame:
+    """(query_id, id, score, rank) of the best entries per query (query_id, text).
+
+    Statistics cover the whole index; ``scopes`` (query_id, source_id), if given, only
+    restricts the result, inside the join of the postings.  A locator of the query that an
+    entry's section number (its text, where it has none) names adds a bonus, also without
+    any common term.  Scores are rounded to six places before ranking.  The terms of the
+    queries are broadcast up to ``most_terms`` rows; beyond, they are joined by a shuffle.
     """
-    posting = postings(entries)
-    lengths = document_lengths(posting)
-    stats = entries.agg(F.count("*").alias("n")).crossJoin(lengths.agg(F.sum("dl").alias("tokens")))
-    frequency = term_statistics(posting).select("term", "df")
-    wanted = query_weights(queries)
-    hits = wanted.join(frequency, "term").join(posting, "term").join(lengths, "id").crossJoin(F.broadcast(stats))
-    if allowed is not None:
-        hits = hits.join(allowed, ["query_id", "id"], "left_semi")
+    wanted = query_weights(queries).join(index.terms.select("term", "df"), "term")
+    asked = _locators(queries, "query_id", F.col("text"))
+    if scopes is not None:
+        scopes = scopes.select("query_id", F.col("source_id").alias("in_source")).distinct()
+        wanted, asked = wanted.join(scopes, "query_id"), asked.join(scopes, "query_id")
+    wanted, asked = materialize(wanted, "query-terms"), materialize(asked, "query-locators")
+    small = F.broadcast if wanted.count() <= most_terms else (lambda x: x)
+    within = (lambda q: F.col("source_id") == q["in_source"]) if scopes is not None else (lambda q: F.lit(True))
+    p, q = index.postings, small(wanted).alias("q")
+    hits = p.join(q, (p["term"] == F.col("q.term")) & within(wanted)).crossJoin(F.broadcast(index.totals))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     length = F.coalesce(F.try_divide(F.col("dl").cast("double") * F.col("n"), F.col("tokens")), F.lit(0.0))
     part = F.col("weight") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length))
-    asked = _locators(queries, "query_id", F.col("text"))
-    named = _locators(entries, "id", F.when(F.length("section_number") > 0, F.col("section_number")).otherwise(F.col("text")))
-    bonus = asked.join(named, "locator")
-    if allowed is not None:
-        bonus = bonus.join(allowed, ["query_id", "id"], "left_semi")
+    bonus = index.locators.join(small(asked).alias("a"), (index.locators["locator"] == F.col("a.locator")) & within(asked))
     parts = hits.select("query_id", "id", part.alias("part")).unionByName(bonus.select("query_id", "id", F.lit(LOCATOR_BONUS).alias("part")))
     scored = parts.groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
     return rank(scored, "query_id", "id", "score", limit)
 
 
+def bm25(entries: DataFrame, queries: DataFrame, limit: int, scopes: DataFrame | None = None) -> DataFrame:
+    """:func:`bm25_search` over entries that have no index yet: one is built for the call."""
+    folder = scratch(entries.sparkSession, "lexical")
+    write_lexical_index(entries, folder)
+    return bm25_search(read_lexical_index(entries.sparkSession, folder), queries, limit, scopes)
+
+
 def frequent_terms(rows: DataFrame, group: str, limit: int) -> DataFrame:
     """(group, term, cf, rank): the commonest terms of more than one character per group,
     by (-count, term).  ``rows``: group, text.  Counts are added up before ranking."""

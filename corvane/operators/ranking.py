@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.storage import materialize
 from corvane.functions.text import content_terms, exact_anchors, normal
 from corvane.operators.evidence import ASKED_TIMES, TEMPORAL, all_of
 from corvane.operators.lexical import rank
@@ -28,8 +25,9 @@ def route_sources(queries: DataFrame, profiles: DataFrame, relative: float = 0.5
     """(query_id, source_id, score, mode, selected): sources for each query.
 
     ``queries``: query_id, text; ``profiles``: source_id, name, description,
-    profile_terms (few rows: a catalogue).  A weak or ambiguous signal selects all
-    sources (authorized_global).  Terms are matched as sets.
+    profile_terms.  Rows are the sources that share a term with the query; a query without
+    any has one row of a null source.  A weak or ambiguous signal selects all sources of the
+    scope, which the mode authorized_global says.  Terms are matched as sets.
     """
     q = queries.select("query_id", content_terms(normal(F.coalesce("text", F.lit("")))).alias("terms"))
     p = profiles.select(
@@ -43,19 +41,22 @@ def route_sources(queries: DataFrame, profiles: DataFrame, relative: float = 0.5
         "source_id", F.col("f.w").alias("w"), F.explode("f.t").alias("term")
     )
     matched = q.select("query_id", F.explode("terms").alias("term")).join(weighted, "term").groupBy("query_id", "source_id").agg(F.sum("w").alias("score"))
-    # the catalogue is a stated set of sources; every query ranks all of it
-    every = q.select("query_id").join(p.select("source_id"), how="cross")
-    scored = every.join(matched, ["query_id", "source_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     w = Window.partitionBy("query_id")
-    best = F.max("score").over(w)
-    second = F.max(F.when(F.col("_n") == 2, F.col("score"))).over(w)
-    ranked = scored.withColumn("_n", F.row_number().over(w.orderBy(F.desc("score"), "source_id"))).withColumn("_best", best).withColumn("_second", second)
-    tied = F.sum((F.col("score") == F.col("_best")).cast("int")).over(w)
+    ranked = matched.withColumn("_n", F.row_number().over(w.orderBy(F.desc("score"), "source_id"))).withColumn("_best", F.max("score").over(w))
     plausible = F.col("score") >= F.col("_best") * relative
-    counted = ranked.withColumn("_tied", tied).withColumn("_plausible", plausible).withColumn("_many", F.sum(plausible.cast("int")).over(w))
-    weak = (F.col("_best") <= 1.5) | (F.col("_tied") > most) | (F.col("_second").isNotNull() & (F.col("_best") < F.greatest(F.lit(2.0), F.col("_second") * 1.15))) | (F.col("_many") > most)
-    mode = F.when(weak, "authorized_global").when(F.col("_many") == 1, "single_source").otherwise("multi_source")
-    return counted.withColumn("mode", mode).select("query_id", "source_id", "score", "mode", (weak | F.col("_plausible")).alias("selected"))
+    signal = ranked.groupBy("query_id").agg(
+        F.max("_best").alias("_best"), F.max(F.when(F.col("_n") == 2, F.col("score"))).alias("_next"),
+        F.sum((F.col("score") == F.col("_best")).cast("int")).alias("_tied"), F.sum(plausible.cast("int")).alias("_many"),
+    )
+    sources = F.broadcast(p.agg(F.count("*").alias("_sources")))
+    # a source without any common term has score 0
+    second = F.coalesce("_next", F.when(F.col("_sources") > 1, F.lit(0.0)))
+    weak = (F.col("_best") <= 1.5) | (F.col("_tied") > most) | (second.isNotNull() & (F.col("_best") < F.greatest(F.lit(2.0), second * 1.15))) | (F.col("_many") > most)
+    mode = F.when(F.coalesce(weak, F.lit(True)), "authorized_global").when(F.col("_many") == 1, "single_source").otherwise("multi_source")
+    modes = q.select("query_id").join(signal.crossJoin(sources), "query_id", "left").select("query_id", "_best", mode.alias("mode"))
+    rows = modes.join(matched, "query_id", "left")
+    chosen = (F.col("mode") == "authorized_global") | (F.col("score") >= F.col("_best") * relative)
+    return rows.select("query_id", "source_id", F.coalesce("score", F.lit(0.0)).alias("score"), "mode", chosen.alias("selected"))
 
 
 def gap_cut(candidates: DataFrame, min_k: int = 3, ratio: float = 0.35) -> DataFrame:
@@ -132,37 +133,33 @@ def select_diverse(candidates: DataFrame, target: int = 5, max_k: int = 16, toke
     seen = slim.withColumn("_n", F.row_number().over(by_rank)).withColumn("several", F.min(near).over(w) != F.max(near).over(w))
     head = seen.withColumn("position", F.row_number().over(w.orderBy("place", "rank", "id"))).where(F.col("position") <= max_k).drop("_n")
 
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("position")
-        wanted = int(rows["target"].iloc[0])
-        cap = max(1, math.ceil(wanted * share)) if rows["several"].iloc[0] else wanted
-        families, documents, used, chosen, out = set(), {}, 0, 0, []
-        for r in rows.itertuples(index=False):
-            if chosen >= wanted:
-                break
-            if r.family_id in families:
-                outcome = "family_seen"
-            elif documents.get(r.document_id, 0) >= cap:
-                outcome = "document_cap"
-            elif used + r.tokens > token_budget:
-                outcome = "token_budget"
-            else:
-                outcome = "selected"
-                families.add(r.family_id)
-                documents[r.document_id] = documents.get(r.document_id, 0) + 1
-                used += r.tokens
-                chosen += 1
-            out.append((r.query_id, r.id, int(r.rank), outcome, int(r.position)))
-        return pd.DataFrame(out, columns=["query_id", "id", "rank", "outcome", "position"])
-
-    return head.groupBy("query_id").applyInPandas(pick, schema)
-
-
-def expand_context(hits: DataFrame, chunks: DataFrame, max_parent: int = 1600) -> DataFrame:
-    """(id, context_kind, context_id, context_tokens, text): the widest fitting context
-    of each hit: its parent, else the window of its neighbours under the same parent and
-    boundary, else itself.  ``hits``: id.  Chunks delivered again count once; overlong
-    windows fall back to the hit."""
+    # a query's head is one bounded array: the selection folds over it inside the row
+    rows = head.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", "id", "rank", "document_id", "family_id", F.col("tokens").cast("bigint").alias("tokens")))).alias("rows"), F.first("target").alias("target"), F.first("several").alias("several"))
+    cap = F.when(F.col("several"), F.greatest(F.lit(1), F.ceil(F.col("target") * share))).otherwise(F.col("target"))
+    texts = F.array().cast("array<string>")
+    start = F.struct(texts.alias("families"), texts.alias("documents"), F.lit(0).cast("bigint").alias("used"), texts.alias("outcomes"))
+
+    def visit(state: Column, row: Column) -> Column:
+        of_document = F.size(F.filter(state["documents"], lambda d: d == row["document_id"]))
+        outcome = (
+            F.when(F.size(state["documents"]) >= F.col("target"), "")
+            .when(F.array_contains(state["families"], row["family_id"]), "family_seen")
+            .when(of_document >= cap, "document_cap")
+            .when(state["used"] + row["tokens"] > token_budget, "token_budget")
+            .otherwise("selected")
+        )
+        chosen = outcome == "selected"
+        grown = lambda name, value: F.when(chosen, F.array_append(state[name], value)).otherwise(state[name]).alias(name)
+        return F.struct(grown("families", row["family_id"]), grown("documents", row["document_id"]), (state["used"] + F.when(chosen, row["tokens"]).otherwise(0)).alias("used"), F.array_append(state["outcomes"], outcome).alias("outcomes"))
+
+    visited = rows.select("query_id", F.explode(F.arrays_zip("rows", F.aggregate("rows", start, visit, lambda state: state["outcomes"]).alias("outcomes"))).alias("v"))
+    return visited.where("v.outcomes <> ''").select("query_id", "v.rows.id", "v.rows.rank", F.col("v.outcomes").alias("outcome"), "v.rows.position")
+
+
+def context_options(hits: DataFrame, chunks: DataFrame, max_parent: int = 1600) -> DataFrame:
+    """(id, contexts): the contexts of each hit, widest first: its parent, the window of its
+    neighbours under the same parent and boundary, itself; the first two only up to
+    ``max_parent`` tokens.  ``hits``: id.  Chunks delivered again count once."""
     cols = ["tenant_id", "source_id", "document_id", "document_version_id", "parent_chunk_id", "hard_boundary_key", "chunk_level", "text", "token_count", "previous_chunk_id", "next_chunk_id"]
     once = chunks.where("id is not null").groupBy("id").agg(F.max_by(F.struct(*cols), F.struct("loaded_at")).alias("c"))
     hit = hits.select("id").distinct().join(once, "id")
@@ -180,37 +177,53 @@ def expand_context(hits: DataFrame, chunks: DataFrame, max_parent: int = 1600) -
     rows = near("parent", "c.parent_chunk_id", "parent", hit)
     rows = near("before", "c.previous_chunk_id", "leaf", rows)
     rows = near("after", "c.next_chunk_id", "leaf", rows)
-    tokens = F.coalesce("before.token_count", F.lit(0)) + F.col("c.token_count") + F.coalesce("after.token_count", F.lit(0))
+    tokens = F.coalesce("before.token_count", F.lit(0)) + F.coalesce("c.token_count", F.lit(0)) + F.coalesce("after.token_count", F.lit(0))
     parent = F.col("parent").isNotNull() & (F.col("parent.token_count") <= max_parent)
     window = (F.col("before").isNotNull() | F.col("after").isNotNull()) & (tokens <= max_parent)
-    return rows.select(
-        "id",
-        F.when(parent, "parent").when(window, "local_window").otherwise("child").alias("context_kind"),
-        F.when(parent, F.col("parent_id")).otherwise(F.col("id")).alias("context_id"),
-        F.when(parent, F.col("parent.token_count")).when(window, tokens).otherwise(F.col("c.token_count")).alias("context_tokens"),
-        F.when(parent, F.col("parent.text")).when(window, F.concat_ws("\n\n", "before.text", "c.text", "after.text")).otherwise(F.col("c.text")).alias("text"),
+
+    def context(kind: str, fits: Column, key: str, size: Column, text: Column) -> Column:
+        return F.when(fits, F.struct(F.lit(kind).alias("context_kind"), F.col(key).alias("context_id"), size.cast("int").alias("context_tokens"), text.alias("text")))
+
+    options = F.array(
+        context("parent", parent, "parent_id", F.col("parent.token_count"), F.col("parent.text")),
+        context("local_window", window, "id", tokens, F.concat_ws("\n\n", "before.text", "c.text", "after.text")),
+        context("child", F.lit(True), "id", F.col("c.token_count"), F.col("c.text")),
     )
+    return rows.select("id", F.array_compact(options).alias("contexts"))
+
+
+def expand_context(hits: DataFrame, chunks: DataFrame, max_parent: int = 1600) -> DataFrame:
+    """(id, context_kind, context_id, context_tokens, text): the widest of each hit's
+    :func:`context_options`."""
+    return context_options(hits, chunks, max_parent).select("id", F.col("contexts")[0].alias("c")).select("id", "c.*")
 
 
 def charge_contexts(contexts: DataFrame, budget: int = 6000) -> DataFrame:
-    """Running token charge per query (query_id, id, context_id, charged, used, kept): a
-    context charged before is free; one that overflows the budget is skipped.
-    ``contexts``: query_id, id, rank, context_id, context_tokens, at most a selection's
-    few rows per query."""
-    schema = "query_id string, id string, context_id string, charged int, used int, kept boolean"
-
-    def charge(rows: pd.DataFrame) -> pd.DataFrame:
-        used, seen, out = 0, set(), []
-        for r in rows.sort_values(["rank", "id"]).itertuples(index=False):
-            cost = 0 if r.context_id in seen else int(r.context_tokens or 0)
-            kept = used + cost <= budget
-            if kept:
-                seen.add(r.context_id)
-                used += cost
-            out.append((r.query_id, r.id, r.context_id, cost if kept else 0, used, kept))
-        return pd.DataFrame(out, columns=["query_id", "id", "context_id", "charged", "used", "kept"])
-
-    return contexts.groupBy("query_id").applyInPandas(charge, schema)
+    """Contexts charged in the order of rank and id (query_id, id, rank, context_kind,
+    context_id, text, charged, used, kept): the widest context of each hit that still fits the budget;
+    one charged before is free.  A hit of which not even the narrowest fits is not kept.
+    ``contexts``: query_id, id, rank, contexts (:func:`context_options`), at most a
+    selection's few rows per query."""
+    slim = F.transform("contexts", lambda c: F.struct(c["context_kind"].alias("kind"), c["context_id"].alias("key"), F.coalesce(c["context_tokens"], F.lit(0)).alias("tokens")))
+    rows = contexts.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", slim.alias("options")))).alias("rows"))
+    taken = "struct<kind:string,key:string,charged:int,used:int>"
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("seen"), F.array().cast(f"array<{taken}>").alias("taken"))
+
+    def charge(state: Column, row: Column) -> Column:
+        # a parent and a child of the same id are different contexts
+        name = lambda o: F.concat_ws(":", F.when(o["kind"] == "parent", "parent").otherwise("hit"), o["key"])
+        cost = lambda o: F.when(F.array_contains(state["seen"], name(o)), 0).otherwise(o["tokens"])
+        best = F.get(F.filter(row["options"], lambda o: state["used"] + cost(o) <= budget), F.lit(0))
+        spent = F.coalesce(cost(best), F.lit(0))
+        used = (state["used"] + F.when(best.isNotNull(), spent).otherwise(0)).cast("int")
+        seen = F.when(best.isNotNull(), F.array_append(state["seen"], name(best))).otherwise(state["seen"])
+        line = F.struct(best["kind"].alias("kind"), best["key"].alias("key"), F.when(best.isNotNull(), spent).otherwise(0).cast("int").alias("charged"), used.alias("used"))
+        return F.struct(used.alias("used"), seen.alias("seen"), F.array_append(state["taken"], line.cast(taken)).alias("taken"))
+
+    folded = rows.select("query_id", F.explode(F.arrays_zip("rows", F.aggregate("rows", start, charge, lambda state: state["taken"]).alias("taken"))).alias("v"))
+    charged = folded.select("query_id", "v.rows.id", "v.rows.rank", F.col("v.taken.kind").alias("context_kind"), F.col("v.taken.key").alias("context_id"), "v.taken.charged", "v.taken.used", F.col("v.taken.kind").isNotNull().alias("kept"))
+    text = F.get(F.filter("contexts", lambda c: c["context_kind"] == F.col("context_kind")), F.lit(0))["text"]
+    return charged.join(contexts.select("query_id", "id", "contexts"), ["query_id", "id"]).select("query_id", "id", "rank", "context_kind", "context_id", text.alias("text"), "charged", "used", "kept")
 
 
 def overlap_rerank(candidates: DataFrame, limit: int) -> DataFrame:
@@ -220,3 +233,19 @@ def overlap_rerank(candidates: DataFrame, limit: int) -> DataFrame:
     rows = candidates.where("passage is not null").select("query_id", "id", content_terms(normal(F.col("query"))).alias("q"), content_terms(normal(F.col("passage"))).alias("p"))
     share = F.coalesce(F.try_divide(F.size(F.array_intersect("q", "p")).cast("double"), F.size("q")), F.lit(0.0))
     return rank(rows.select("query_id", "id", F.round(share, 6).alias("score")), "query_id", "id", "score", limit)
+
+
+def hybrid_stages(dense: DataFrame, sparse: DataFrame, queries: DataFrame, passages: DataFrame, fused: int = 30, limit: int = 10) -> DataFrame:
+    """Trace of a hybrid retrieval (query_id, stage, id, score, rank): the two lists, their
+    fusion, and the first ``fused`` of it reranked by the passage.  ``dense``, ``sparse``:
+    query_id, id, score, rank; ``queries``: query_id, text; ``passages``: id, text.  Each
+    list is a few rows per query and is written once."""
+    lists = [materialize(x.select("query_id", "id", "score", F.col("rank").cast("int").alias("rank")), "hybrid-list") for x in (dense, sparse)]
+    both = materialize(reciprocal_rank_fusion(*lists).select("query_id", "id", "score", "rank"), "hybrid-fused")
+    rows = both.where(F.col("rank") <= fused).select("query_id", "id").join(passages.select("id", F.col("text").alias("passage")), "id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
+    stages = {"dense": lists[0], "bm25": lists[1], "fused": both, "reranked": overlap_rerank(rows, limit)}
+    out = None
+    for name, part in stages.items():
+        part = part.select("query_id", F.lit(name).alias("stage"), "id", "score", "rank")
+        out = part if out is None else out.unionByName(part)
+    return out

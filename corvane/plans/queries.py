@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import ids, text
-from corvane.functions.storage import materialize
+from corvane.functions.storage import materialize, scratch
 from corvane.operators import catalog, chunking, dense, evidence, index_text, lexical, metrics, ranking, snapshots, structure
 from corvane.plans import sql
 
@@ -44,13 +44,27 @@ def _leaves(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _entries(spark: SparkSession, folder: str) -> DataFrame:
-    return _leaves(spark, folder).select("id", F.coalesce(F.nullif("retrieval_text", F.lit("")), "text").alias("text"), "section_number")
+    return _leaves(spark, folder).select("id", "source_id", F.coalesce(F.nullif("retrieval_text", F.lit("")), "text").alias("text"), "section_number")
 
 
 def _questions(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, folder, "eval_items").select(F.col("item_id").alias("query_id"), F.col("query").alias("text"))
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, folder: str) -> lexical.LexicalIndex:
+    """The lexical index of a folder's leaves: built by the first search of a session,
+    read by all."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _INDEXES:
+        path = scratch(spark, "lexical-index")
+        lexical.write_lexical_index(_entries(spark, folder), path)
+        _INDEXES[key] = path
+    return lexical.read_lexical_index(spark, _INDEXES[key])
+
+
 _U = "(SELECT * FROM units WHERE unit_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY loaded_at DESC) = 1)"
 _C = "(SELECT * FROM chunks WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) = 1)"
 _L = f"(SELECT * FROM {_C} WHERE chunk_level = 'leaf')"
@@ -88,7 +102,7 @@ sc AS (SELECT query_id, id, round(sum(part), 6) AS score FROM al GROUP BY ALL HA
 
 @_add(_BM25 + "SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM sc QUALIFY rank <= 30")
 def bm25_top30(spark: SparkSession, folder: str) -> DataFrame:
-    return lexical.bm25(_entries(spark, folder), _questions(spark, folder), 30)
+    return lexical.bm25_search(_index(spark, folder), _questions(spark, folder), 30)
 
 
 @_add(
@@ -97,8 +111,7 @@ def bm25_top30(spark: SparkSession, folder: str) -> DataFrame:
 )
 def bm25_scoped(spark: SparkSession, folder: str) -> DataFrame:
     wanted = _read(spark, folder, "eval_items").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct("expected_source_ids")).alias("source_id"))
-    allowed = _leaves(spark, folder).select("id", "source_id").join(wanted, "source_id").select("query_id", "id")
-    return lexical.bm25(_entries(spark, folder), _questions(spark, folder), 10, allowed)
+    return lexical.bm25_search(_index(spark, folder), _questions(spark, folder), 10, wanted)
 
 
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -213,13 +226,14 @@ def _profiles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _ROUTE = f"""
-WITH top AS ({_SQL['source_profiles_top32']}), pr AS (SELECT s.id AS source_id, {sql.content(sql.normal("coalesce(name, '')"))} AS nt, {sql.content(sql.normal("coalesce(description, '')"))} AS dt, coalesce((SELECT list(DISTINCT term) FROM top WHERE top.source_id = s.id), []) AS pt FROM sources s),
-q AS (SELECT item_id AS query_id, {sql.content(sql.normal('query'))} AS qt FROM eval_items),
-s AS (SELECT query_id, source_id, 2.0::DOUBLE * len(list_intersect(qt, nt)) + 1.5::DOUBLE * len(list_intersect(qt, dt)) + 1.0::DOUBLE * len(list_intersect(qt, pt)) AS score FROM q, pr),
+WITH top AS ({_SQL['source_profiles_top32']}), tp AS MATERIALIZED (SELECT source_id, list(DISTINCT term) AS pt FROM top GROUP BY 1),
+pr AS MATERIALIZED (SELECT s.id AS source_id, {sql.content(sql.normal("coalesce(name, '')"))} AS nt, {sql.content(sql.normal("coalesce(description, '')"))} AS dt, coalesce(pt, []) AS pt FROM sources s LEFT JOIN tp ON tp.source_id = s.id),
+q AS MATERIALIZED (SELECT item_id AS query_id, {sql.content(sql.normal('query'))} AS qt FROM eval_items),
+s AS MATERIALIZED (SELECT query_id, source_id, 2.0::DOUBLE * len(list_intersect(qt, nt)) + 1.5::DOUBLE * len(list_intersect(qt, dt)) + 1.0::DOUBLE * len(list_intersect(qt, pt)) AS score FROM q, pr),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source_id) AS n, max(score) OVER (PARTITION BY query_id) AS best FROM s),
 a AS (SELECT query_id, max(best) AS best, max(score) FILTER (n = 2) AS second, count(*) FILTER (score = best) AS tied, count(*) FILTER (score >= best * 0.55) AS many FROM r GROUP BY 1),
 w AS (SELECT *, best <= 1.5 OR tied > 4 OR (second IS NOT NULL AND best < greatest(2.0, second * 1.15)) OR many > 4 AS weak FROM a)
-SELECT query_id, source_id, score, CASE WHEN weak THEN 'authorized_global' WHEN many = 1 THEN 'single_source' ELSE 'multi_source' END AS mode, weak OR score >= w.best * 0.55 AS selected FROM s JOIN w USING (query_id)"""
+SELECT query_id, source_id, coalesce(score, 0.0::DOUBLE) AS score, CASE WHEN weak THEN 'authorized_global' WHEN many = 1 THEN 'single_source' ELSE 'multi_source' END AS mode, weak OR score >= w.best * 0.55 AS selected FROM w LEFT JOIN (SELECT * FROM s WHERE score > 0) s USING (query_id)"""
 
 
 @_add(_ROUTE)
@@ -227,18 +241,27 @@ def source_routing(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.route_sources(_questions(spark, folder), _profiles(spark, folder))
 
 
+def _routed(spark: SparkSession, folder: str) -> DataFrame:
+    """(query_id, routed): the sources a query is routed to, none where it is global."""
+    picked = F.when(F.col("selected") & (F.col("mode") != "authorized_global"), F.col("source_id"))
+    return source_routing(spark, folder).groupBy("query_id").agg(F.array_sort(F.collect_set(picked)).alias("routed"))
+
+
 @_add(f"""WITH g AS ({_ROUTE}), x AS (SELECT query_id, coalesce(list(source_id) FILTER (selected AND mode <> 'authorized_global'), []) AS got FROM g GROUP BY 1)
 SELECT query_id, round(CASE WHEN len(got) > 0 THEN len(list_intersect(got, expected_source_ids)) / len(got)::DOUBLE WHEN len(expected_source_ids) = 0 THEN 1.0 ELSE 0.0 END, 6) AS source_precision,
 round(CASE WHEN len(list_distinct(expected_source_ids)) > 0 THEN len(list_intersect(got, expected_source_ids)) / len(list_distinct(expected_source_ids))::DOUBLE ELSE 1.0 END, 6) AS source_recall FROM x JOIN eval_items ON item_id = query_id""")
 def routing_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    routed = source_routing(spark, folder).groupBy("query_id").agg(F.collect_set(F.when(F.col("selected") & (F.col("mode") != "authorized_global"), F.col("source_id"))).alias("got"))
-    rows = _read(spark, folder, "eval_items").select(F.col("item_id").alias("query_id"), F.col("expected_source_ids").alias("want")).join(routed, "query_id")
+    rows = _read(spark, folder, "eval_items").select(F.col("item_id").alias("query_id"), F.col("expected_source_ids").alias("want")).join(_routed(spark, folder).withColumnRenamed("routed", "got"), "query_id")
     return rows.select("query_id", F.round(metrics.set_precision(F.col("got"), F.col("want")), 6).alias("source_precision"), F.round(metrics.set_recall(F.col("got"), F.col("want")), 6).alias("source_recall"))
 
 
 def _selection(spark: SparkSession, folder: str) -> DataFrame:
     # hits feed the targets, the reservation and the selection: written once, a few rows per question
-    hits = materialize(bm25_top30(spark, folder), "selection-hits")
+    return _placed(spark, folder, materialize(bm25_top30(spark, folder), "selection-hits"))
+
+
+def _placed(spark: SparkSession, folder: str, hits: DataFrame) -> DataFrame:
+    """Hits with what the selection needs: family, tokens, target and reserved place."""
     c = _leaves(spark, folder).select("id", "document_id", F.coalesce("parent_chunk_id", "id").alias("family_id"), F.col("token_count").alias("tokens"), F.coalesce(F.nullif("retrieval_text", F.lit("")), "text").alias("text"))
     found = hits.join(c, "id")
     asked = _questions(spark, folder).where("text is not null").select("query_id", evidence.need_parts(evidence.query_features(F.col("text"))["core_query"]).alias("parts"), text.exact_anchors(text.normal(F.col("text"))).alias("anchors"), evidence.requested_items(F.col("text")).alias("items"))
@@ -260,11 +283,11 @@ def greedy_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.select_diverse(_selection(spark, folder)).drop("position")
 
 
-@_add()
+@_add(f"""WITH g AS ({_ROUTE}), x AS (SELECT query_id, coalesce(list(source_id) FILTER (selected AND mode <> 'authorized_global'), []) AS got FROM g GROUP BY 1), a AS (SELECT list(id) AS ids FROM sources WHERE is_active)
+SELECT query_id, unnest(CASE WHEN len(list_intersect(got, ids)) > 0 THEN list_intersect(got, ids) ELSE ids END) AS source_id FROM x, a""")
 def effective_scopes(spark: SparkSession, folder: str) -> DataFrame:
     scope = _read(spark, folder, "sources").where("is_active").agg(F.array_sort(F.collect_set("id")).alias("scope"))
-    routed = source_routing(spark, folder).groupBy("query_id").agg(F.array_sort(F.collect_set(F.when(F.col("selected"), F.col("source_id")))).alias("routed"))
-    return routed.crossJoin(scope).select("query_id", F.explode(ranking.effective_scope(F.col("routed"), F.col("scope"))).alias("source_id"))
+    return _routed(spark, folder).crossJoin(F.broadcast(scope)).select("query_id", F.explode(ranking.effective_scope(F.col("routed"), F.col("scope"))).alias("source_id"))
 
 
 @_add(f"""WITH c AS {_C}, h AS (SELECT * FROM c WHERE chunk_level = 'leaf'),
@@ -282,8 +305,14 @@ def parent_expansion(spark: SparkSession, folder: str) -> DataFrame:
 
 @_add()
 def context_charges(spark: SparkSession, folder: str) -> DataFrame:
-    kept = _selected(spark, folder)
-    return ranking.charge_contexts(kept.join(ranking.expand_context(kept, _read(spark, folder, "chunks")), "id"))
+    return _charged(spark, folder).drop("text")
+
+
+def _charged(spark: SparkSession, folder: str) -> DataFrame:
+    # the selection is a few rows per question and feeds several joins: written once
+    kept = materialize(_selected(spark, folder), "selected")
+    options = materialize(kept.join(ranking.context_options(kept, _read(spark, folder, "chunks")), "id"), "context-options")
+    return ranking.charge_contexts(options)
 
 
 @_add(f"""WITH l AS {_L}, b AS ({_SQL['bm25_top30']}), r AS (SELECT b.query_id, b.id, {sql.content(sql.normal('i.query'))} AS q, {sql.content(sql.normal('l.text'))} AS p FROM b JOIN eval_items i ON i.item_id = b.query_id JOIN l ON l.id = b.id),
@@ -293,6 +322,41 @@ def overlap_rerank(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.overlap_rerank(rows, 10)
 
 
+def _embeddings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    entries = dense.embed(_entries(spark, folder), "id", "text")
+    return entries, dense.embed(_questions(spark, folder), "query_id", "text")
+
+
+_CODES = "list_transform(string_split({}, ''), lambda c, i: (unicode(c) + i - 1) % 15)"
+_CHARS = "list_concat(list_transform(range(0, 15), lambda r: len(list_filter(k, lambda x: x = r))::DOUBLE), [1.0::DOUBLE])"
+_UNIT = "list_transform(v, lambda z: z / sqrt(list_sum(list_transform(v, lambda y: y * y))))"
+_HYBRID = f"""WITH b AS MATERIALIZED ({_SQL['bm25_top30']}), l AS MATERIALIZED (SELECT id, text, coalesce(nullif(retrieval_text, ''), text) AS t FROM {_L}),
+ev AS MATERIALIZED (SELECT id, {_UNIT} AS v FROM (SELECT id, {_CHARS} AS v FROM (SELECT id, {_CODES.format('t')} AS k FROM l))),
+qv AS MATERIALIZED (SELECT query_id, {_UNIT} AS v FROM (SELECT query_id, {_CHARS} AS v FROM (SELECT item_id AS query_id, {_CODES.format('query')} AS k FROM eval_items WHERE query IS NOT NULL))),
+d AS MATERIALIZED (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM (SELECT query_id, id, round(list_inner_product(qv.v, ev.v), 6) AS score FROM qv, ev) QUALIFY rank <= 30),
+m AS (SELECT coalesce(d.query_id, b.query_id) AS query_id, coalesce(d.id, b.id) AS id, round(coalesce(1.0::DOUBLE / (60 + d.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 9) AS score FROM d FULL JOIN b ON d.query_id = b.query_id AND d.id = b.id),
+f AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM m),
+p AS MATERIALIZED (SELECT id, {sql.content(sql.normal('text'))} AS p FROM l), q AS MATERIALIZED (SELECT item_id AS query_id, {sql.content(sql.normal('query'))} AS q FROM eval_items),
+e AS (SELECT query_id, id, round(coalesce(len(list_intersect(q, p)) / nullif(len(q), 0)::DOUBLE, 0), 6) AS score FROM (SELECT query_id, id FROM f WHERE rank <= 30) JOIN p USING (id) JOIN q USING (query_id)),
+g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM e QUALIFY rank <= 10)
+SELECT query_id, 'dense' AS stage, id, score, rank FROM d UNION ALL SELECT query_id, 'bm25', id, score, rank FROM b UNION ALL SELECT query_id, 'fused', id, score, rank FROM f UNION ALL SELECT query_id, 'reranked', id, score, rank FROM g"""
+
+
+@_add(_HYBRID)
+def hybrid_trace(spark: SparkSession, folder: str) -> DataFrame:
+    """Every stage of the hybrid retrieval of every question over all leaves."""
+    entries, questions = _embeddings(spark, folder)
+    near = dense.dense_search(entries, questions, 30)
+    return ranking.hybrid_stages(near, bm25_top30(spark, folder), _questions(spark, folder), _leaves(spark, folder).select("id", "text"))
+
+
+@_add()
+def hybrid_selected(spark: SparkSession, folder: str) -> DataFrame:
+    """The passages that the hybrid retrieval selects, in order."""
+    reranked = hybrid_trace(spark, folder).where("stage = 'reranked'").drop("stage")
+    return ranking.select_diverse(_placed(spark, folder, materialize(reranked, "reranked"))).where("outcome = 'selected'").select("query_id", "id", "position")
+
+
 # -- ingestion --------------------------------------------------------------
 
 
@@ -723,9 +787,7 @@ def support_excerpts(spark: SparkSession, folder: str) -> DataFrame:
 
 @_add()
 def context_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    kept = _selected(spark, folder).join(ranking.expand_context(_leaves(spark, folder), _read(spark, folder, "chunks")), "id")
-    charged = ranking.charge_contexts(kept).select("query_id", "id", "kept")
-    return evidence.context_blocks(kept.join(charged, ["query_id", "id"]))
+    return evidence.context_blocks(_charged(spark, folder))
 
 
 @_add(f"SELECT id, tenant_id, source_id FROM {_C} WHERE tenant_id = 'tenant-metro' AND source_id IN ('src-metro-signal', 'src-cold-chain')")

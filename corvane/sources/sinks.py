@@ -18,11 +18,9 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_index(entries: DataFrame, vectors: DataFrame | None, profiles: DataFrame, folder: str) -> None:
-    """Postings, lengths, vectors and source profiles as parquet below a staging folder.
+    """Lexical index, vectors and source profiles as parquet below a staging folder.
     ``entries``: id, text, section_number."""
-    posting = lexical.postings(entries)
-    posting.write.mode("overwrite").parquet(f"{folder}/postings")
-    entries.sparkSession.read.parquet(f"{folder}/postings").transform(lexical.document_lengths).write.mode("overwrite").parquet(f"{folder}/lengths")
+    lexical.write_lexical_index(entries, folder)
     if vectors is not None:
         vectors.write.mode("overwrite").parquet(f"{folder}/vectors")
     profiles.write.mode("overwrite").parquet(f"{folder}/profiles")

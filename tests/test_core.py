@@ -66,8 +66,9 @@ def test_bm25_prefers_named_clause_and_scope(spark):
     got = lexical.bm25(entries, q, 3).collect()
     ranked = [r["id"] for r in sorted(got, key=lambda r: r["rank"])]
     assert ranked[0] == "a" and set(ranked) == {"a", "b", "d"} and got[0]["score"] > 0
-    allowed = spark.createDataFrame([(1, "b")], "query_id int, id string")
-    assert [r["id"] for r in lexical.bm25(entries, q, 3, allowed).collect()] == ["b"]
+    placed = entries.withColumn("source_id", F.when(F.col("id") == "b", "s").otherwise("t"))
+    scopes = spark.createDataFrame([(1, "s"), (1, "s"), (2, "t")], "query_id int, source_id string")
+    assert [r["id"] for r in lexical.bm25(placed, q, 3, scopes).collect()] == ["b"]
     assert lexical.bm25(entries.limit(0), q, 3).count() == 0
 
 
@@ -122,7 +123,9 @@ def test_routing_modes(spark):
     assert {r["mode"] for r in ranking.route_sources(q, p).collect()} == {"authorized_global"}
     p = spark.createDataFrame([("s1", "pump station", "valve", ["valve"]), ("s2", "boiler", None, None)], p.schema)
     got = {r["source_id"]: (r["mode"], r["selected"]) for r in ranking.route_sources(spark.createDataFrame([(1, "pump station valve")], "query_id int, text string"), p).collect()}
-    assert got == {"s1": ("single_source", True), "s2": ("single_source", False)}
+    assert got == {"s1": ("single_source", True)}
+    none = ranking.route_sources(spark.createDataFrame([(1, "turbine"), (2, None)], "query_id int, text string"), p).collect()
+    assert [tuple(r)[1:] for r in none] == [(None, 0.0, "authorized_global", True)] * 2
 
 
 def test_greedy_selection(spark):
@@ -184,8 +187,13 @@ def test_expansion_kinds_and_charges(spark):
     kinds = lambda most: {r["id"]: r["context_kind"] for r in ranking.expand_context(c.where("chunk_level = 'leaf'"), c, most).collect()}
     assert kinds(100) == {"a": "parent", "b": "parent", "c": "child"}
     assert kinds(50) == {"a": "local_window", "b": "local_window", "c": "child"}
-    x = spark.createDataFrame([("q", "a", 1, "p", 80), ("q", "b", 2, "p", 80), ("q", "c", 3, "c", 30)], "query_id string, id string, rank int, context_id string, context_tokens int")
-    assert [(r["id"], r["charged"], r["kept"]) for r in ranking.charge_contexts(x, 100).orderBy("id").collect()] == [("a", 80, True), ("b", 0, True), ("c", 0, False)]
+    x = ranking.context_options(c.where("chunk_level = 'leaf'"), c, 100).join(spark.createDataFrame([("q", "a", 1), ("q", "b", 2), ("q", "c", 3)], "query_id string, id string, rank int"), "id")
+    taken = lambda budget: [(r["id"], r["context_kind"], r["charged"], r["kept"]) for r in ranking.charge_contexts(x, budget).orderBy("id").collect()]
+    assert taken(100) == [("a", "parent", 80, True), ("b", "parent", 0, True), ("c", "child", 10, True)]
+    # a parent over the budget gives way to the window, that to the hit, and that to nothing
+    assert taken(50) == [("a", "local_window", 20, True), ("b", "local_window", 20, True), ("c", "child", 10, True)]
+    assert taken(30) == [("a", "local_window", 20, True), ("b", "child", 10, True), ("c", None, 0, False)]
+    assert ranking.charge_contexts(x.limit(0)).count() == 0
 
 
 # -- ingestion ------------------------------------------------------------------
