@@ -407,11 +407,28 @@ def test_snapshot_changes_against_plain_python(spark):
     assert snapshots.manifest_changes(df.limit(0)).count() == 0
 
 
-def test_snapshot_diff_has_one_range_exchange(spark):
-    df = spark.createDataFrame([("m", "c", ["a"], {"a": "1"}, {}, None, None, 1, "x")], MANIFEST)
-    plan = snapshots.manifest_changes(df)._jdf.queryExecution().executedPlan().toString()
-    head = plan[: plan.index("rangepartitioning")]
-    assert "hashpartitioning(_c" not in head and head.count("Exchange") == 1
+def test_slices_merge_like_dictionaries():
+    rng = random.Random(5)
+    for _ in range(200):
+        sides = [{("k", str(rng.randrange(12))): rng.choice([None, b"1", b"2"]) for _ in range(rng.randrange(9))} for _ in range(2)]
+        old, new = sides
+        want = {(k, "added" if k not in old else "removed" if k not in new else "changed") for k in {*old, *new} if k not in old or k not in new or old[k] != new[k]}
+        assert set(snapshots.changed(*(sorted(x.items()) for x in sides))) == want
+
+
+def test_snapshot_ranges_do_not_matter(spark):
+    rng = random.Random(6)
+    have = {(c, n): {f"r{rng.randrange(30)}": rng.choice(["1", "2", None]) for _ in range(rng.randrange(20))} for c in ("a", None) for n in range(1, 6)}
+    df = spark.createDataFrame([(c, n, 5, "chunk", k, v) for (c, n), x in have.items() for k, v in x.items()], "_c string, seq int, last int, record_kind string, record_id string, value string")
+    numbers = spark.createDataFrame([(c, n, f"{c}{n}") for c, n in have], "c string, seq int, snap string")
+    want = set()
+    for (c, n), new in have.items():
+        old = have.get((c, n - 1))
+        if old is not None:
+            want |= {(f"{c}{n}", k, "added" if k not in old else "removed" if k not in new else "changed") for k in {*old, *new} if k not in old or k not in new or old[k] != new[k]}
+    for many in (0, 100 * snapshots.RANGE_RECORDS):
+        got = snapshots.diff_snapshots(df, numbers, "snap", "c", many).collect()
+        assert {(r["snap"], r["record_id"], r["change"]) for r in got} == want and len(got) == len(want)
 
 
 def test_sources(spark, tmp_path):
