@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.storage import materialize
+
 # Letters of other scripts that print like a Latin letter, as
 # (look-alike, Latin) pairs; dashes that print like the ASCII hyphen; the two micro
 # signs; radicals without a Unicode decomposition that print like a character.
@@ -149,11 +151,13 @@ def alike_pairs(records: DataFrame, scope: list[str]) -> DataFrame:
     are never paired with themselves.
     """
     keys = [*scope, "looks"]
-    rows = (
+    digests = (
         records.where(F.col("id").isNotNull() & F.col("text").isNotNull())
         .select(*scope, "id", F.unhex(F.md5(canonical_column(F.col("text")))).alias("looks"), F.unhex(F.md5("text")).alias("stored"))
         .distinct()
     )
+    # the digests feed six joins: texts are normalised once
+    rows = materialize(digests, "looks")
     mixed = rows.groupBy(*keys).agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo < hi").select(*[F.col(k).alias(f"m_{k}") for k in keys])
     on = [F.col(k).eqNullSafe(F.col(f"m_{k}")) for k in keys]
     rows = rows.join(mixed, on, "left_semi")

@@ -39,7 +39,7 @@ def _tables() -> list[np.ndarray]:
         fold = np.arange(0x110000, dtype=np.uint32)
         kind = np.full(0x110000, SPACE, np.uint8)
         slow = np.zeros(0x110000, bool)
-        for cp in range(0x30000):
+        for cp in range(0x32400):
             if 0xD800 <= cp <= 0xF8FF:
                 continue
             ch = chr(cp)
@@ -160,17 +160,30 @@ def smith_waterman(a: np.ndarray, b: np.ndarray, match: int = 2, mismatch: int =
     return best, span
 
 
+def surroundings(shifts: list[int], passage: int, text: int) -> list[tuple[int, int]]:
+    """Parts of a text that a passage may be aligned to, given the shifts of its seeds: one
+    part for shifts that lie closer together than the passage is long."""
+    parts: list[tuple[int, int]] = []
+    last = None
+    for shift in sorted(shifts):
+        lo, hi = max(0, shift - 32), min(text, shift + passage + 32)
+        parts = [*parts[:-1], (parts[-1][0], hi)] if last is not None and shift - last <= passage else [*parts, (lo, hi)]
+        last = shift
+    return parts
+
+
 def _fold_counts(passages, n: int, bits: int):
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = passages.value.grams
         look = _Lookup(np.unique(grams))
+        given = look.sorted[np.argsort(look.order)] & np.uint64((1 << bits) - 1)
         counts = np.zeros(1 << bits, np.int64)
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a in range(0, len(texts), _CHUNK):
                 hashes, _ = shingle_hashes(fold_words(texts[a : a + _CHUNK]), n)
                 _, which = look.places(hashes)
-                counts += np.bincount((look.sorted[np.argsort(look.order)][which] & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=len(counts))
+                np.add.at(counts, given[which].astype(np.int64), 1)
         yield pieces(counts)
 
     return fold
@@ -201,13 +214,7 @@ def _find(passages, seeds, key: str, min_run: int):
                     if run == len(passage):
                         score, span = 2 * run, run
                     else:
-                        shifts = [s for s, _ in hits]
-                        lo = max(0, min(shifts) - 32)
-                        hi = min(len(text), max(shifts) + len(passage) + 32)
-                        if hi - lo > 4 * len(passage) + 64:
-                            # the passage occurs at places far apart: align around its longest run
-                            lo, hi = max(0, start - len(passage)), min(len(text), start + run + len(passage))
-                        score, span = smith_waterman(text[lo:hi], passage)
+                        score, span = max(smith_waterman(text[lo:hi], passage) for lo, hi in surroundings([s for s, _ in hits], len(passage), len(text)))
                     rows.append((a + d, p.ids[i], run, start, span, score, len(passage)))
             if rows:
                 own, *rest = zip(*rows)
@@ -221,8 +228,9 @@ def _find(passages, seeds, key: str, min_run: int):
 def leaked_passages(documents: DataFrame, items: DataFrame, min_words: int = 50, n: int = NGRAM, key: str = "doc_id", min_run: int | None = None, block_items: int = 5000) -> DataFrame:
     """(key, item_id, longest_run, run_start, aligned_words, score, passage_words) of
     every document and passage that share a seed and ``min_run`` consecutive words
-    (default: n).  Every shared run of at least ``min_words`` words is found; edited
-    copies are found as far as one seed survived.  Null keys, texts and passages take
+    (default: n).  Every shared run of at least ``min_words`` words is found.  Edited copies
+    are found as far as one seed survived; their ``score`` (2 a common word, 1 off for each
+    word more, less or other) says how much of the passage they hold.  Null keys, texts and passages take
     part in nothing; a document or item given twice counts twice.
     """
     spark = documents.sparkSession

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from corvane.functions.storage import materialize
 from corvane.llm.tokens import mix64, token_counts
 
-GROUPS = 256
+#: Rows that one window of a running sum holds, about.
+WINDOW_ROWS = 100_000
 
 
 def bpe_counter(path: str, pattern: str) -> Callable[[list[str | None]], np.ndarray]:
@@ -72,10 +73,11 @@ def supply(tokens: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def running_start(rows: DataFrame, part: str, value: str, order: Column) -> DataFrame:
+def running_start(rows: DataFrame, part: str, value: str, order: Column, many: int) -> DataFrame:
     """Adds ``start``: the sum of ``value`` before the row within ``part``.  Each part is
-    summed in ``GROUPS`` pieces, so no window holds a whole part."""
-    grouped = rows.withColumn("_g", F.pmod(F.xxhash64(order), F.lit(GROUPS)))
+    summed in pieces whose number follows from ``many``, the number of rows, so no window
+    holds a whole large part."""
+    grouped = rows.withColumn("_g", F.pmod(F.xxhash64(order), F.lit(1 + many // WINDOW_ROWS)))
     w = Window.partitionBy(part, "_g").orderBy(order)
     sums = grouped.groupBy(part, "_g").agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(part).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
@@ -154,9 +156,9 @@ def mix_sources(documents: DataFrame, targets: DataFrame, block_tokens: int = 25
     sizes = spark.createDataFrame([(r["source"], -(-r["tokens"] // block_tokens), r["max_repeats"]) for r in known], "source string, blocks bigint, max_repeats bigint")
     shards = spark.range(-(-slots // per_shard) if shares else 0)
     drawn = shards.mapInPandas(_draw(shares, slots, per_shard, seed), "shard bigint, source string, slots bigint")
-    placed = running_start(drawn, "source", "slots", F.col("shard")).join(F.broadcast(sizes), "source").withColumn("source_key", F.pmod(F.xxhash64("source"), F.lit(1 << 30)))
+    placed = running_start(drawn, "source", "slots", F.col("shard"), len(shares) * max(1, slots // per_shard)).join(F.broadcast(sizes), "source").withColumn("source_key", F.pmod(F.xxhash64("source"), F.lit(1 << 30)))
     taken = placed.mapInPandas(_place(seed), "shard bigint, source string, slot bigint, repeat int, block bigint")
-    spans = running_start(tokens.where("tokens > 0"), "source", "tokens", F.col(key))
+    spans = running_start(tokens.where("tokens > 0"), "source", "tokens", F.col(key), tokens.count())
     first, last = F.floor(F.col("start") / block_tokens), F.floor((F.col("start") + F.col("tokens") - 1) / block_tokens)
     parts = spans.select("source", key, "start", "tokens", F.explode(F.sequence(first, last)).alias("block")).select(
         "source",

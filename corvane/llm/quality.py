@@ -68,7 +68,7 @@ def _tables() -> list[np.ndarray]:
     """Per code point: its class, whether it ends a sentence, is a comma, is upper case."""
     if not _TABLES:
         kind = np.full(0x110000, _STRANGE, np.uint8)
-        points = np.arange(0x30000)
+        points = np.arange(0x32400)
         chars = [chr(c) for c in points]
         category = [ud.category(c) for c in chars]
         kind[points] = [_PLAIN if c[0] in "LMN" else _STRANGE for c in category]

@@ -72,21 +72,27 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(records, _p5_links(records))
 
 
-def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _leaks(spark, folder).where("longest_run >= 50").select("doc_id", "item_id").distinct()
+#: A run of 50 common words scores 100 in the alignment.
+P6_WORDS, P6_SCORE = 50, 100
 
 
-def _leaks(spark: SparkSession, folder: str) -> DataFrame:
-    return leakage.leaked_passages(_read(spark, folder, "documents"), _read(spark, folder, "eval_items"), min_words=50)
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and passages whose alignment scores like 50 common words; of these the
+    pairs that share 50 words in a row."""
+    leaks = leakage.leaked_passages(_read(spark, folder, "documents"), _read(spark, folder, "eval_items"), P6_WORDS)
+    return leaks.where((F.col("score") >= P6_SCORE) & (F.col("longest_run") >= P6_WORDS)).select("doc_id", "item_id").distinct()
 
 
 def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    return _leaks(spark, folder)
+    """All leaks by their alignment, edited copies too: seeds lie in every 20 words."""
+    leaks = leakage.leaked_passages(_read(spark, folder, "documents"), _read(spark, folder, "eval_items"), 20)
+    return leaks.where(F.col("score") >= P6_SCORE)
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    targets = _read(spark, folder, "mix_targets")
-    return mixing.supply(mixing.document_tokens(_read(spark, folder, "documents"), targets), targets).where("not reachable").select("source")
+    """Sources that the mix leaves short of their share since their repeats are used up."""
+    report = mixing.mix_sources(_read(spark, folder, "documents"), _read(spark, folder, "mix_targets"))[1]
+    return report.where((F.col("selected_tokens") < F.col("wanted_tokens")) & ~F.col("reachable")).select("source")
 
 
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:

@@ -95,6 +95,7 @@ def test_pieces_cover_the_text_within_the_limit(text, limit, overlap):
     overlap = min(overlap, limit - 1)
     spans = [m.span() for m in TOKEN.finditer(text)]
     at = 0
+    assert len(pieces) > 1
     for k, (a, b, n) in enumerate(pieces):
         inside = [i for i, (s, e) in enumerate(spans) if a <= s and e <= b]
         assert n == len(inside) <= limit
@@ -111,6 +112,19 @@ def test_pieces_end_at_sentences_and_sections():
     assert any(text[a:b].startswith("# 乙") for a, b, _ in cut)
 
 
+def test_pieces_follow_the_tree():
+    shown = lambda text, limit: [text[a:b] for a, b, _ in splitting.split_text(text, limit, 0)]
+    # a subsection stays with its section, not with the one before
+    text = "# 甲\n一一一一\n## 乙\n二二二二\n# 丙\n三三三三\n"
+    assert shown(text, 15) == ["# 甲\n一一一一\n## 乙\n二二二二", "# 丙\n三三三三"]
+    # what an opened section leaves is not merged with the next section
+    assert shown("# 甲\n一一一一一。二二。\n# 丙\n三\n", 8) == ["# 甲\n一一一一一。", "二二。", "# 丙\n三"]
+    # list items stay with the items nested below them
+    assert shown("- a b\n  - c\n- d e f\n  - g h\n", 7) == ["- a b\n  - c", "- d e f\n  - g h"]
+    # the first piece has no overlap to leave room for
+    assert [n for _, _, n in splitting.split_text("汉" * 25, 10, 3)] == [10, 10, 10, 4]
+
+
 def test_unit_pieces(spark):
     u = spark.createDataFrame(
         [("u1", "s1", "汉" * 25, ["h"], 1), ("u1", "s1", "汉" * 25, ["h"], 2), ("u2", "s1", None, None, 1), ("u3", "gone", "汉" * 25, [], 1), ("u4", "s1", "", None, None), (None, "s1", "x", None, 1)],
@@ -121,7 +135,7 @@ def test_unit_pieces(spark):
     got = splitting.unit_pieces(u, s, lim).collect()
     by = {k: sorted((r for r in got if r["unit_id"] == k), key=lambda r: r["piece_no"]) for k in ("u1", "u2", "u3", "u4")}
     assert [len(by[k]) for k in ("u1", "u2", "u3", "u4")] == [4, 1, 1, 1]
-    assert [r["piece_tokens"] for r in by["u1"]] == [7, 10, 10, 7] and all(r["heading_path"] == ["h"] for r in by["u1"])
+    assert [r["piece_tokens"] for r in by["u1"]] == [10, 10, 10, 4] and all(r["heading_path"] == ["h"] for r in by["u1"])
     assert splitting.unit_pieces(u.limit(0), s, lim).count() == 0
 
 
@@ -310,7 +324,7 @@ def test_mix(spark):
 
 def test_running_start(spark):
     df = spark.createDataFrame([("a", i, i % 5) for i in range(300)], "p string, k int, v int")
-    got = sorted((r["start"], r["v"]) for r in mixing.running_start(df, "p", "v", F.col("k")).collect())
+    got = sorted((r["start"], r["v"]) for r in mixing.running_start(df, "p", "v", F.col("k"), 300_000).collect())
     at = 0
     ends = []
     for s, v in got:
