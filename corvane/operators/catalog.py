@@ -71,3 +71,29 @@ def redact(attributes: Column, fragments: tuple[str, ...] = ("key", "token", "au
         return out
 
     return F.transform_values(F.map_filter(attributes, lambda k, _: safe(k)), lambda _, v: F.substring(v, 1, most))
+
+
+def chunks_in_order(ids: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Chunks of listed ids (list_id, place, id), in the order of the list: adds list_id and
+    place to the chunks found; ids without a chunk are left out."""
+    return ids.select("list_id", "place", F.col("id").alias("_id")).join(chunks, F.col("_id") == F.col("id")).drop("_id")
+
+
+def published_chunks(active: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Chunks of an index after a publication: those of ``fresh`` and the active ones of all
+    other documents (both: tenant_id, document_id and the same further columns)."""
+    documents = fresh.select("tenant_id", "document_id").distinct()
+    return active.join(documents, ["tenant_id", "document_id"], "left_anti").select(*fresh.columns).unionByName(fresh)
+
+
+def rebuilt(chunks: DataFrame, allow_empty: bool = False) -> DataFrame:
+    """Chunks of a full rebuild; an empty one is refused unless it is allowed."""
+    if not allow_empty and chunks.isEmpty():
+        raise ValueError("a rebuild without chunks would empty the index")
+    return chunks
+
+
+def outdated(versions: DataFrame, group: str, key: str, order: str, keep: int) -> DataFrame:
+    """(group, key): all but the ``keep`` newest of each group."""
+    w = Window.partitionBy(group).orderBy(F.desc(order), F.desc(key))
+    return versions.select(group, key, F.row_number().over(w).alias("_n")).where(F.col("_n") > keep).drop("_n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.text import content_terms, exact_anchors, normal, spaced
+from corvane.functions.text import content_terms, exact_anchors, nfkc, normal, spaced
 
 # Cue words, and the patterns of requests.
 ENTITIES = ["自然人", "法人", "非法人组织", "民事主体", "成年人", "未成年人", "被监护人", "监护人", "胎儿"]
@@ -213,3 +213,89 @@ def context_blocks(contexts: DataFrame) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
     rows = contexts.where("kept").withColumn("n", n).select("query_id", F.struct("n", F.concat(F.lit("[C"), F.col("n"), F.lit("]\n"), F.col("text")).alias("t")).alias("b"))
     return rows.groupBy("query_id").agg(F.count("*").alias("blocks"), F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["t"]), "\n\n").alias("context"))
+
+
+def normalized_query(text: Column) -> Column:
+    """Compatibility form of a question with single blanks, and its locators behind it."""
+    plain = spaced(nfkc(text))
+    return F.trim(F.concat_ws(" ", plain, F.array_join(exact_anchors(plain), " ")))
+
+
+# Cues of the form, language and citation an answer is asked for in.
+FORMATS = {"table": ["表格", "table"], "steps": ["步骤", "step"], "list": ["分别", "列出", "list"]}
+CITATION_CUES = ["引用", "依据", "页码", "cite"]
+
+
+def response_contract(text: Column) -> Column:
+    """Struct (format, language, citations, items) of how a question wants its answer."""
+    low = F.lower(text)
+    language = F.when(text.contains("用英文") | low.contains("in english"), "en").when(text.contains("用中文") | low.contains("in chinese"), "zh-CN")
+    return F.struct(first_of(low, FORMATS, "auto").alias("format"), language.alias("language"), any_of(low, CITATION_CUES).alias("citations"), requested_items(text).alias("items"))
+
+
+def typed_anchors(text: Column, most: int = 32) -> Column:
+    """The first ``most`` locators of a question as structs (anchor, kind)."""
+    kind = lambda a: F.when(a.rlike("^(?:clause|chapter|step):"), "structure_id").otherwise("error_code")
+    return F.transform(F.slice(exact_anchors(text), 1, most), lambda a: F.struct(a.alias("anchor"), kind(a).alias("kind")))
+
+
+def planning_key(text: Column, version: str) -> Column:
+    """Cache key of a question's plan under a planner version."""
+    return F.sha2(F.concat(F.lit(version), F.lit("\0"), text), 256)
+
+
+#: Pairs of modalities that exclude each other.
+OPPOSITES = [("prohibited", "required"), ("permitted", "prohibited")]
+
+
+def proposition_relations(propositions: DataFrame, group: str) -> DataFrame:
+    """(group, left_no, right_no, relation) of the propositions of one group, each pair
+    once.  ``propositions``: group, no, subject, predicate, object, modality, conditions,
+    exceptions (arrays), temporal, authority.  What is null is unknown and excludes
+    nothing; texts are compared without regard to case and blanks.  Pairs are made inside a
+    group, such as the sentences of a passage."""
+    fold = lambda c: F.lower(spaced(c))
+    names = ["no", "subject", "predicate", "object", "modality", "conditions", "exceptions", "temporal", "authority"]
+    a = propositions.select(group, *[F.col(n).alias(f"a_{n}") for n in names])
+    b = propositions.select(group, *[F.col(n).alias(f"b_{n}") for n in names])
+    pairs = a.join(b, group).where("a_no < b_no")
+    both = lambda n: F.col(f"a_{n}").isNotNull() & F.col(f"b_{n}").isNotNull()
+    differ = lambda n: F.coalesce(both(n) & (fold(F.col(f"a_{n}")) != fold(F.col(f"b_{n}"))), F.lit(False))
+    filled = lambda n: (F.coalesce(F.size(f"a_{n}"), F.lit(0)) > 0, F.coalesce(F.size(f"b_{n}"), F.lit(0)) > 0)
+    known = both("subject") & both("predicate")
+    other_core = known & (differ("subject") | differ("predicate") | differ("object"))
+    apart = filled("conditions")[0] & filled("conditions")[1] & ~F.arrays_overlap(F.transform("a_conditions", fold), F.transform("b_conditions", fold))
+    other_scope = F.coalesce(apart, F.lit(False)) | differ("temporal") | differ("authority")
+    pair = F.array_sort(F.array("a_modality", "b_modality"))
+    opposite = F.lit(False)
+    for x, y in OPPOSITES:
+        opposite |= pair == F.array(F.lit(x), F.lit(y))
+    relation = (
+        F.when(filled("exceptions")[0] | filled("exceptions")[1], "exception").when(other_core | other_scope, "different_scope").when(F.coalesce(opposite, F.lit(False)), "conflict").when(~known, "ambiguous").otherwise("compatible")
+    )
+    return pairs.select(group, F.col("a_no").alias("left_no"), F.col("b_no").alias("right_no"), relation.alias("relation"))
+
+
+def sufficiency(grades: DataFrame) -> DataFrame:
+    """(query_id, coverage, missing): mean coverage of a query's needs and the needs that
+    nothing supports, sorted.  ``grades``: query_id, need_id, coverage, supporting."""
+    missing = F.array_sort(F.collect_list(F.when(F.col("supporting") == 0, F.col("need_id"))))
+    return grades.groupBy("query_id").agg(F.round(F.avg("coverage"), 6).alias("coverage"), missing.alias("missing"))
+
+
+# Fixed value: what looks like a secret in a log line.
+SECRET = r"(?i)(api[_-]?key|authorization|bearer|password|secret)([\"'=:\s]+)([^\s,;\"']+)"
+
+
+def redacted_line(text: Column) -> Column:
+    """A log line with the values of its secrets blotted out."""
+    return F.regexp_replace(text, SECRET, "$1$2[REDACTED]")
+
+
+def safe_metadata(metadata: Column) -> Column:
+    """Metadata without names that contain key or token; names are cut at 64 characters and
+    values at 256, of names that become equal the last stays; null is empty."""
+    kept = F.map_filter(metadata, lambda k, _: ~F.lower(k).contains("key") & ~F.lower(k).contains("token"))
+    entries = F.transform(F.map_entries(kept), lambda e: F.struct(F.substring(e["key"], 1, 64).alias("key"), F.substring(e["value"], 1, 256).alias("value")))
+    last = F.filter(entries, lambda e, i: F.size(F.filter(F.slice(entries, i + 2, F.size(entries)), lambda o: o["key"] == e["key"])) == 0)
+    return F.coalesce(F.map_from_entries(last), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))

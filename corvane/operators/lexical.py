@@ -65,7 +65,7 @@ class LexicalIndex:
 _PARTS = ("postings", "locators", "terms", "totals")
 
 
-def write_lexical_index(entries: DataFrame, folder: str) -> None:
+def write_lexical_index(entries: DataFrame, folder: str, version: str = "") -> None:
     """Index of entries (id, text, section_number and, if there, source_id) as four tables.
 
     Postings are range-partitioned and sorted by term, so that a search reads the files and
@@ -83,11 +83,15 @@ def write_lexical_index(entries: DataFrame, folder: str) -> None:
     located = plain.select(F.explode(F.filter(exact_anchors(named), lambda x: x.rlike(LOCATOR))).alias("locator"), "id", "source_id")
     located.repartitionByRange("locator", "id").sortWithinPartitions("locator").write.mode("overwrite").parquet(f"{folder}/locators")
     totals = plain.agg(F.count("*").alias("n")).crossJoin(stored.agg(F.sum("tf").alias("tokens")))
-    totals.write.mode("overwrite").parquet(f"{folder}/totals")
+    totals.withColumn("version", F.lit(version)).write.mode("overwrite").parquet(f"{folder}/totals")
 
 
-def read_lexical_index(spark: SparkSession, folder: str) -> LexicalIndex:
-    return LexicalIndex(*(spark.read.parquet(f"{folder}/{part}") for part in _PARTS))
+def read_lexical_index(spark: SparkSession, folder: str, pinned: str | None = None) -> LexicalIndex:
+    """The index of a folder; ``pinned``, if given, must be the version it was written as."""
+    index = LexicalIndex(*(spark.read.parquet(f"{folder}/{part}") for part in _PARTS))
+    if pinned is not None and (found := index.totals.first()["version"]) != pinned:
+        raise ValueError(f"the index is of version {found!r}, not {pinned!r}")
+    return index
 
 
 def bm25_search(index: LexicalIndex, queries: DataFrame, limit: int, scopes: DataFrame | None = None, most_terms: int = 500_000) -> DataFrame:

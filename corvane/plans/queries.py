@@ -503,16 +503,6 @@ def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     return _units(spark, folder).withColumn("n", F.coalesce("token_count", F.lit(0))).select("*", *[F.lag(c).over(w).alias(a) for c, a in cols.items()]).where("u0 is not null")
 
 
-@_add(f"""WITH {_PAIR}, f AS (SELECT unit_id, n, CASE WHEN k0 = kind THEN 0.05 WHEN k0 IN ('prose', 'sub_clause', 'paragraph') AND kind IN ('prose', 'sub_clause', 'paragraph') THEN 0.20 ELSE 0.60 END AS st, CASE WHEN k0 = kind THEN 0.0 WHEN k0 IN ({_ROLE}) OR kind IN ({_ROLE}) THEN 1.0 ELSE 0.45 END AS ro,
-CASE WHEN length(s1) > 0 AND length(s0) > 0 AND s0 <> s1 THEN 1.0 WHEN length(s1) > 0 AND s0 IS DISTINCT FROM s1 THEN 0.80 WHEN h0 IS DISTINCT FROM h1 THEN 0.90 WHEN p0 > 0 AND p1 > 0 AND p0 <> p1 THEN 0.20 ELSE 0.0 END AS ma FROM z WHERE u0 IS NOT NULL)
-SELECT unit_id, round(0.30 * st::DOUBLE + 0.30 * 0.5 + 0.20 * {_PRESS} + 0.10 * ma::DOUBLE + 0.10 * ro::DOUBLE, 6) AS score FROM f""")
-def boundary_score(spark: SparkSession, folder: str) -> DataFrame:
-    p = _pairs(spark, folder)
-    c = F.col
-    score = chunking.boundary_score(chunking.structure_strength(c("k0"), c("kind")), F.lit(0.5), chunking.length_pressure(c("n")), chunking.marker_change(c("s0"), c("section_number"), c("h0"), c("heading_path"), c("p0"), c("page_number")), chunking.role_change(c("k0"), c("kind")))
-    return p.select("unit_id", F.round(score, 6).alias("score"))
-
-
 @_add(f"SELECT unit_id, round({_PRESS}, 6) AS pressure, round(CASE WHEN n < 150 THEN 0.80 WHEN n <= 400 THEN 0.58 + 0.10 * (1.0 - (n - 150) / 250.0::DOUBLE) ELSE greatest(0.30, 0.58 - 0.24 * (n - 400) / 300.0::DOUBLE) END::DOUBLE, 6) AS threshold FROM (SELECT unit_id, coalesce(token_count, 0) AS n FROM {_U})")
 def dynamic_threshold(spark: SparkSession, folder: str) -> DataFrame:
     u = _units(spark, folder).withColumn("n", F.coalesce("token_count", F.lit(0)))
@@ -526,6 +516,16 @@ def lexical_cosine(spark: SparkSession, folder: str) -> DataFrame:
     return text.term_cosines(_pairs(spark, folder), "unit_id", "t0", "text", 6)
 
 
+@_add(f"""WITH {_PAIR}, f AS (SELECT unit_id, n, CASE WHEN k0 = kind THEN 0.05 WHEN k0 IN ('prose', 'sub_clause', 'paragraph') AND kind IN ('prose', 'sub_clause', 'paragraph') THEN 0.20 ELSE 0.60 END AS st, CASE WHEN k0 = kind THEN 0.0 WHEN k0 IN ({_ROLE}) OR kind IN ({_ROLE}) THEN 1.0 ELSE 0.45 END AS ro,
+CASE WHEN length(s1) > 0 AND length(s0) > 0 AND s0 <> s1 THEN 1.0 WHEN length(s1) > 0 AND s0 IS DISTINCT FROM s1 THEN 0.80 WHEN h0 IS DISTINCT FROM h1 THEN 0.90 WHEN p0 > 0 AND p1 > 0 AND p0 <> p1 THEN 0.20 ELSE 0.0 END AS ma FROM z WHERE u0 IS NOT NULL)
+SELECT unit_id, round(0.30 * st::DOUBLE + 0.30 * (1 - coalesce(similarity, 0)) / 2 + 0.20 * {_PRESS} + 0.10 * ma::DOUBLE + 0.10 * ro::DOUBLE, 9) AS score FROM f LEFT JOIN ({_SQL['lexical_cosine']}) USING (unit_id)""")
+def boundary_score(spark: SparkSession, folder: str) -> DataFrame:
+    p = _pairs(spark, folder).join(lexical_cosine(spark, folder), "unit_id", "left")
+    c = F.col
+    score = chunking.boundary_score(chunking.structure_strength(c("k0"), c("kind")), (1 - F.coalesce("similarity", F.lit(0.0))) / 2, chunking.length_pressure(c("n")), chunking.marker_change(c("s0"), c("section_number"), c("h0"), c("heading_path"), c("p0"), c("page_number")), chunking.role_change(c("k0"), c("kind")))
+    return p.select("unit_id", F.round(score, 9).alias("score"))
+
+
 def _folded(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.link_chunks(chunking.chunk_units(_units(spark, folder)))
 
@@ -535,6 +535,13 @@ def semantic_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return _folded(spark, folder)
 
 
+@_add()
+def embedded_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks whose semantic gap is that of embeddings."""
+    units = _units(spark, folder)
+    return chunking.chunk_units(units.join(dense.embed(units, "unit_id", "text"), "unit_id", "left"))
+
+
 @_add()
 def parent_runs(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.parent_runs(_folded(spark, folder))
@@ -691,11 +698,21 @@ def active_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return catalog.active_chunks(_read(spark, folder, "chunks"), _read(spark, folder, "document_versions"), _read(spark, folder, "sources")).select("id", "document_version_id", "ordinal")
 
 
-@_add("""WITH s AS (SELECT id AS name, content_hash AS a FROM document_versions), t AS (SELECT DISTINCT document_version_id AS name, 'h-' || document_version_id AS b FROM chunks), j AS (SELECT coalesce(s.name, t.name) AS name, CASE WHEN b IS NULL THEN 'missing' WHEN a IS NULL THEN 'unexpected' WHEN a <> b THEN 'changed' ELSE 'ok' END AS state FROM s FULL JOIN t ON s.name = t.name) SELECT * FROM j WHERE state <> 'ok'""")
+_MANIFEST = "(SELECT * FROM manifests WHERE index_version_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY index_version_id ORDER BY loaded_at DESC) = 1)"
+
+
+@_add(f"""WITH f AS (SELECT * FROM {_MANIFEST} QUALIFY row_number() OVER (PARTITION BY collection_id ORDER BY created_at, index_version_id) = 1), s AS (SELECT name, max(a) AS a FROM (SELECT unnest(map_keys(child_content_hashes)) AS name, unnest(map_values(child_content_hashes)) AS a FROM f) GROUP BY 1), t AS (SELECT id AS name, content_hash AS b FROM {_L}),
+j AS (SELECT coalesce(s.name, t.name) AS name, CASE WHEN b IS NULL THEN 'missing' WHEN a IS NULL THEN 'unexpected' WHEN a <> b THEN 'changed' ELSE 'ok' END AS state FROM s FULL JOIN t ON s.name = t.name) SELECT * FROM j WHERE state <> 'ok'""")
 def manifest_verify(spark: SparkSession, folder: str) -> DataFrame:
-    stated = _read(spark, folder, "document_versions").select(F.col("id").alias("name"), F.col("content_hash").alias("checksum"))
-    actual = _read(spark, folder, "chunks").select(F.col("document_version_id").alias("name")).distinct().withColumn("checksum", F.concat(F.lit("h-"), F.col("name")))
-    return catalog.verify_artifacts(stated, actual)
+    """The first manifest of each collection against the leaves there are today."""
+    w = Window.partitionBy("collection_id").orderBy("created_at", "index_version_id")
+    first = _manifests(spark, folder).withColumn("n", F.row_number().over(w)).where("n = 1")
+    stated = first.select(F.explode("child_content_hashes").alias("name", "checksum")).groupBy("name").agg(F.max("checksum").alias("checksum"))
+    return catalog.verify_artifacts(stated, _leaves(spark, folder).select(F.col("id").alias("name"), F.col("content_hash").alias("checksum")))
+
+
+def _manifests(spark: SparkSession, folder: str) -> DataFrame:
+    return catalog.delivered_once(_read(spark, folder, "manifests"), "index_version_id", "loaded_at")
 
 
 @_add("""SELECT index_version_id, record_kind, record_id, change FROM (
@@ -795,6 +812,144 @@ def scope_filter(spark: SparkSession, folder: str) -> DataFrame:
     return catalog.in_scope(_chunks(spark, folder), F.lit("tenant-metro"), F.array(F.lit("src-metro-signal"), F.lit("src-cold-chain"))).select("id", "tenant_id", "source_id")
 
 
+# -- plans of questions --------------------------------------------------------
+
+
+_Q = f"(SELECT query_id, query, trim(regexp_replace({sql.nfkc('query')}, '{sql.BLANK}+', ' ', 'g')) AS n FROM {_PLANS})"
+
+
+@_add(f"SELECT query_id, list_sort(string_split(trim(concat_ws(' ', n, array_to_string({sql.anchors('lower(n)')}, ' '))), ' ')) AS words FROM {_Q}")
+def normalized_queries(spark: SparkSession, folder: str) -> DataFrame:
+    """The words of the normalised questions; their locators stand behind them."""
+    got = _plans(spark, folder).select("query_id", evidence.normalized_query(F.col("query")).alias("t"))
+    return got.select("query_id", F.array_sort(F.split("t", " ")).alias("words"))
+
+
+_FORMAT = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(query), '{c}')" for c in cues) + f" THEN '{n}'" for n, cues in evidence.FORMATS.items()) + " ELSE 'auto' END"
+_ITEMS = "nullif(CASE WHEN regexp_matches(query, '(?:^|[^0-9])([0-9]{1,2})\\s*(?:项|个|种|steps?|items?)', 'i') THEN least(50, regexp_extract(query, '(?:^|[^0-9])([0-9]{1,2})\\s*(?:项|个|种|steps?|items?)', 1, 'i')::INT) WHEN regexp_matches(query, '[一二两三四五六七八九十]\\s*(?:项|个|种|步|条)') THEN CASE regexp_extract(query, '([一二两三四五六七八九十])\\s*(?:项|个|种|步|条)', 1) WHEN '十' THEN 10 ELSE translate(regexp_extract(query, '([一二两三四五六七八九十])\\s*(?:项|个|种|步|条)', 1), '一二两三四五六七八九', '1223456789')::INT END END, 0)"
+
+
+@_add(f"SELECT query_id, {_FORMAT} AS format, coalesce(CASE WHEN contains(query, '用英文') OR contains(lower(query), 'in english') THEN 'en' WHEN contains(query, '用中文') OR contains(lower(query), 'in chinese') THEN 'zh-CN' END, '') AS language, contains(lower(query), '引用') OR contains(query, '依据') OR contains(query, '页码') OR contains(lower(query), 'cite') AS citations, coalesce({_ITEMS}, 0) AS items FROM {_PLANS}")
+def response_contracts(spark: SparkSession, folder: str) -> DataFrame:
+    got = _plans(spark, folder).select("query_id", evidence.response_contract(F.col("query")).alias("c")).select("query_id", "c.*")
+    return got.withColumn("language", F.coalesce("language", F.lit(""))).withColumn("items", F.coalesce("items", F.lit(0)))
+
+
+@_add(f"SELECT query_id, anchor, CASE WHEN regexp_matches(anchor, '^(?:clause|chapter|step):') THEN 'structure_id' ELSE 'error_code' END AS kind FROM (SELECT query_id, unnest(list_slice({sql.anchors('n')}, 1, 32)) AS anchor FROM (SELECT query_id, {sql.normal('query')} AS n FROM {_PLANS}))")
+def typed_anchors(spark: SparkSession, folder: str) -> DataFrame:
+    return _plans(spark, folder).select("query_id", F.explode(evidence.typed_anchors(text.normal(F.col("query")))).alias("a")).select("query_id", "a.anchor", "a.kind")
+
+
+@_add(f"SELECT query_id, sha256('plan-1' || chr(0) || query) AS key FROM {_PLANS}")
+def planning_keys(spark: SparkSession, folder: str) -> DataFrame:
+    return _plans(spark, folder).select("query_id", evidence.planning_key(F.col("query"), "plan-1").alias("key"))
+
+
+_SENT = f"s AS (SELECT id, no, {_SUBJECT} AS subject, {_LEADING} AS modality, array_to_string({_cases('s', evidence.TEMPORAL)}, ',') AS temporal FROM (SELECT id, trim(unnest(x)) AS s, generate_subscripts(x, 1) AS no FROM (SELECT id, regexp_extract_all(text, '[^。！？!?；;\\n]+[。！？!?；;]?') AS x FROM {_L})) WHERE s <> '')"
+
+
+@_add(f"""WITH {_SENT}, p AS (SELECT id, no, nullif(subject, '') AS subject, modality, nullif(temporal, '') AS temporal, row_number() OVER (PARTITION BY id ORDER BY no) AS n FROM s)
+SELECT a.id, a.n AS left_no, b.n AS right_no, CASE WHEN a.modality = 'exception' OR b.modality = 'exception' THEN 'exception' WHEN coalesce(a.subject <> b.subject, false) OR coalesce(a.temporal <> b.temporal, false) THEN 'different_scope' WHEN (a.modality, b.modality) IN (('required', 'prohibited'), ('prohibited', 'required'), ('permitted', 'prohibited'), ('prohibited', 'permitted')) THEN 'conflict' WHEN a.subject IS NULL OR b.subject IS NULL THEN 'ambiguous' ELSE 'compatible' END AS relation
+FROM p a JOIN p b ON a.id = b.id AND a.n < b.n""")
+def proposition_relations(spark: SparkSession, folder: str) -> DataFrame:
+    """Relations of the sentences of each leaf, of one predicate."""
+    found = evidence.propositions(_leaves(spark, folder).select("id", "text")).withColumn("no", F.row_number().over(Window.partitionBy("id").orderBy("sentence_no")))
+    texts = F.array().cast("array<string>")
+    rows = found.select(
+        "id", "no", "subject", F.lit("states").alias("predicate"), F.lit(None).cast("string").alias("object"), "modality", texts.alias("conditions"),
+        F.when(F.col("modality") == "exception", F.array("sentence")).otherwise(texts).alias("exceptions"), F.nullif("temporal", F.lit("")).alias("temporal"), F.lit(None).cast("string").alias("authority"),
+    )
+    return evidence.proposition_relations(rows, "id")
+
+
+@_add(f"WITH {_GRADES} SELECT lang AS query_id, round(avg(coverage), 6) AS coverage, coalesce(string_agg(need_id::VARCHAR, ',' ORDER BY need_id) FILTER (supporting = 0), '') AS missing FROM g JOIN eval_items ON item_id = need_id GROUP BY 1")
+def evidence_sufficiency(spark: SparkSession, folder: str) -> DataFrame:
+    lang = _read(spark, folder, "eval_items").select(F.col("item_id").alias("need_id"), F.col("lang").alias("query_id"))
+    return evidence.sufficiency(_graded(spark, folder).join(lang, "need_id")).withColumn("missing", F.array_join(F.transform("missing", lambda n: n.cast("string")), ","))
+
+
+# -- selection of chunks -------------------------------------------------------
+
+
+@_add(f"""WITH m AS (SELECT index_version_id, chunk_ids AS c FROM {_MANIFEST} QUALIFY row_number() OVER (PARTITION BY collection_id ORDER BY created_at DESC, index_version_id DESC) = 1), i AS (SELECT index_version_id AS list_id, unnest(c) AS id, generate_subscripts(c, 1) - 1 AS place FROM m)
+SELECT list_id, place::INT AS place, l.id, l.document_version_id FROM i JOIN {_L} l ON l.id = i.id JOIN sources s ON s.id = l.source_id WHERE s.is_active""")
+def retrievable_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks of the newest manifest of each collection in their order, of active sources."""
+    w = Window.partitionBy("collection_id").orderBy(F.desc("created_at"), F.desc("index_version_id"))
+    newest = _manifests(spark, folder).withColumn("n", F.row_number().over(w)).where("n = 1")
+    ids_ = newest.select(F.col("index_version_id").alias("list_id"), F.posexplode("chunk_ids").alias("place", "id"))
+    active = _read(spark, folder, "sources").where("is_active").select(F.col("id").alias("source_id"))
+    return catalog.chunks_in_order(ids_, _leaves(spark, folder).join(active, "source_id")).select("list_id", "place", "id", "document_version_id")
+
+
+@_add(f"""WITH v AS (SELECT id, tenant_id, document_id, version_number, max(version_number) OVER (PARTITION BY tenant_id, document_id) AS top FROM document_versions), l AS (SELECT l.id, l.tenant_id, l.document_id, version_number, top FROM {_L} l JOIN v ON v.id = l.document_version_id)
+SELECT id, tenant_id, document_id FROM l WHERE top > 1 AND version_number = top UNION ALL SELECT id, tenant_id, document_id FROM l WHERE version_number = 1 AND (tenant_id, document_id) NOT IN (SELECT (tenant_id, document_id) FROM l WHERE top > 1 AND version_number = top)""")
+def published_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """An index of first versions after the newest later versions were published."""
+    w = Window.partitionBy("tenant_id", "document_id")
+    v = _read(spark, folder, "document_versions").withColumn("top", F.max("version_number").over(w)).select(F.col("id").alias("document_version_id"), "version_number", "top")
+    rows = _leaves(spark, folder).select("id", "tenant_id", "document_id", "document_version_id").join(v, "document_version_id")
+    cols = ["id", "tenant_id", "document_id"]
+    return catalog.rebuilt(catalog.published_chunks(rows.where("version_number = 1").select(*cols), rows.where("top > 1 AND version_number = top").select(*cols)))
+
+
+@_add(f"SELECT collection_id, index_version_id FROM {_MANIFEST} QUALIFY row_number() OVER (PARTITION BY collection_id ORDER BY created_at DESC, index_version_id DESC) > 3")
+def outdated_indexes(spark: SparkSession, folder: str) -> DataFrame:
+    return catalog.outdated(_manifests(spark, folder), "collection_id", "index_version_id", "created_at", 3)
+
+
+@_add(f"""WITH a AS ({_SQL['content_profiles']}) SELECT doc_id, CASE WHEN content_profile IS NOT NULL THEN content_profile WHEN confidence >= 0.55 THEN profile ELSE 'general_prose' END AS profile, CASE WHEN content_profile IS NOT NULL THEN 'source_explicit' WHEN confidence >= 0.55 THEN 'content_profiler' ELSE 'fallback' END AS method, coalesce(content_profile <> profile AND confidence >= 0.8, false) AS mismatch
+FROM a JOIN (SELECT doc_id, CASE WHEN title IS NOT NULL THEN content_profile END AS content_profile FROM documents) USING (doc_id)""")
+def profile_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """Decisions where titled documents state their profile and the others are assessed."""
+    stated = _read(spark, folder, "documents").select("doc_id", F.when(F.col("title").isNotNull(), F.col("content_profile")).alias("stated"))
+    rows = content_profiles(spark, folder).join(stated, "doc_id")
+    return rows.select("doc_id", structure.profile_decision(F.col("stated"), F.col("profile"), F.col("confidence")).alias("d")).select("doc_id", "d.profile", "d.method", "d.mismatch")
+
+
+@_add()
+def structured_units(spark: SparkSession, folder: str) -> DataFrame:
+    return structure.structured_units(structure.markdown_blocks(_read(spark, folder, "documents").select("doc_id", "text")))
+
+
+def _profiled_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    s = _read(spark, folder, "sources").select(F.col("id").alias("source_id"), "content_profile")
+    return _chunks(spark, folder).join(s, "source_id", "left")
+
+
+_ARTICLES = f"list_distinct(list_transform(regexp_extract_all(text, '(?:^|\\n)\\s*(第\\s*[{sql.NUMERAL}]+\\s*条)', 1), lambda x: regexp_replace(x, '\\s+', '', 'g')))"
+
+
+@_add(f"""WITH l AS (SELECT c.*, s.content_profile AS cp FROM {_L} c LEFT JOIN sources s ON s.id = c.source_id), v AS (SELECT document_version_id, count(*) AS chunks, count(*) FILTER (coalesce(token_count, 0) < 20) / count(*)::DOUBLE AS tiny, 1 - count(DISTINCT coalesce(text, '')) / count(*)::DOUBLE AS twice FROM l GROUP BY 1), a AS (SELECT document_version_id, hard_boundary_key AS k, len({_ARTICLES}) AS n FROM l WHERE cp = 'regulation')
+SELECT document_version_id, 'all_tiny' AS rule, chunks FROM v WHERE chunks >= 10 AND tiny >= 0.95 UNION ALL SELECT document_version_id, 'all_duplicates', chunks FROM v WHERE chunks >= 10 AND twice >= 0.8 UNION ALL SELECT document_version_id, 'several_articles', count(*) FROM a WHERE n > 1 GROUP BY 1 UNION ALL SELECT document_version_id, 'missing_article_key', count(*) FROM a WHERE n > 0 AND NOT coalesce(starts_with(k, 'article:'), false) GROUP BY 1""")
+def version_faults(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.version_faults(_profiled_chunks(spark, folder))
+
+
+_TYPES = " OR ".join(f"(cp = '{p}' AND unit_type IN ({', '.join(repr(k) for k in kinds)}))" for p, kinds in chunking.EXPECTED_TYPES.items())
+
+
+@_add(f"""WITH l AS (SELECT c.*, s.content_profile AS cp, row_number() OVER (PARTITION BY document_version_id ORDER BY ordinal, c.id) AS n FROM {_L} c LEFT JOIN sources s ON s.id = c.source_id)
+SELECT document_version_id, 'possible_table_of_contents' AS warning FROM l WHERE n <= 3 AND (contains(text, '目录') OR contains(lower(text), 'table of contents')) GROUP BY 1
+UNION ALL SELECT document_version_id, 'content_profile_signal_weak' FROM l GROUP BY 1 HAVING bool_or(cp IN ({', '.join(repr(p) for p in chunking.EXPECTED_TYPES)})) AND NOT bool_or(coalesce({_TYPES}, false))""")
+def quality_warnings(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.quality_warnings(_profiled_chunks(spark, folder))
+
+
+@_add("SELECT event_id, regexp_replace(t, '(api[_-]?key|authorization|bearer|password|secret)([\"''=:\\s]+)([^\\s,;\"'']+)', '\\1\\2[REDACTED]', 'gi') AS line FROM (SELECT event_id, 'user ' || user_id || ' API_KEY=k' || event_id || ', password: \"p' || user_id || '\" ' || props AS t FROM events)")
+def redacted_lines(spark: SparkSession, folder: str) -> DataFrame:
+    line = F.concat(F.lit("user "), F.col("user_id"), F.lit(" API_KEY=k"), F.col("event_id"), F.lit(', password: "p'), F.col("user_id"), F.lit('" '), F.col("props"))
+    return _read(spark, folder, "events").select("event_id", evidence.redacted_line(line).alias("line"))
+
+
+@_add("SELECT ocr_id, page_number, len(list_filter(map_keys(m), lambda k: NOT contains(lower(k), 'key') AND NOT contains(lower(k), 'token'))) AS names FROM (SELECT ocr_id, b.page_number AS page_number, map_concat(coalesce(b.metadata, MAP {}), MAP {'Api-Key': 'x', 'tokens': 'y', 'kind': coalesce(b.kind, '')}) AS m FROM (SELECT ocr_id, unnest(blocks) AS b FROM (SELECT * FROM ocr_results WHERE ocr_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY ocr_id ORDER BY extracted_at DESC) = 1)))")
+def safe_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    once = catalog.delivered_once(_read(spark, folder, "ocr_results"), "ocr_id", "extracted_at").select("ocr_id", F.explode("blocks").alias("b"))
+    stated = F.coalesce("b.metadata", F.create_map().cast("map<string,string>"))
+    more = F.create_map(F.lit("Api-Key"), F.lit("x"), F.lit("tokens"), F.lit("y"), F.lit("kind"), F.coalesce("b.kind", F.lit("")))
+    return once.select("ocr_id", F.col("b.page_number").alias("page_number"), F.size(evidence.safe_metadata(F.map_concat(F.map_filter(stated, lambda k, _: ~k.isin("Api-Key", "tokens", "kind")), more))).alias("names"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -476,3 +476,77 @@ def test_every_query_runs_on_the_smallest_tables(spark):
     for name in ("bm25_top30", "rrf_fusion", "parent_expansion", "adapt_blocks", "p3_found"):
         counts[name] = queries.queries()[name](spark, "/root/testdata/sf0.001").count()
     assert all(counts.values())
+
+
+# -- structure parser, gate, plans --------------------------------------------------
+
+
+def test_structured_units_stand_in_their_document(spark):
+    text = "### a\n\n第一句。第二句。\n第一句。\n\n# b\n\n## c\n\n```\nx = 1. Y = 2.\n```\n\n第三条 内容。"
+    docs = spark.createDataFrame([("d", text), ("e", ""), ("f", None)], "doc_id string, text string")
+    blocks = structure.markdown_blocks(docs)
+    got = structure.structured_units(blocks).orderBy("unit_no").collect()
+    joined = "\n".join(r["text"] for r in blocks.orderBy("block_no").collect())
+    assert all(joined[r["source_start_offset"] : r["source_end_offset"]] == r["text"] for r in got) and [r["unit_no"] for r in got] == list(range(len(got)))
+    # a level is a depth of the path, whatever was skipped before
+    assert [(r["text"], r["heading_path"]) for r in got][:4] == [("a", ["a"]), ("第一句。", ["a"]), ("第二句。", ["a"]), ("第一句。", ["a"])]
+    assert [r["heading_path"] for r in got][4:] == [["b"], ["b", "c"], ["b", "c"], ["b", "c"]]
+    assert [r["protected"] for r in got] == [True, False, False, False, True, True, True, True]
+    assert got[-1]["kind"] == "numbered_clause" and got[-1]["retrieval_text"] == "b > c 第三条 第三条 内容。"
+
+
+def test_profile_decisions(spark):
+    rows_ = [("manual", "narrative", 0.9), ("manual", "narrative", 0.7), ("manual", None, None), (None, "narrative", 0.6), (None, "narrative", 0.3), (None, None, None)]
+    df = spark.createDataFrame(rows_, "stated string, predicted string, confidence double")
+    got = [tuple(r["d"])[:3] for r in df.select(structure.profile_decision(F.col("stated"), F.col("predicted"), F.col("confidence")).alias("d")).collect()]
+    assert got == [("manual", "source_explicit", True), ("manual", "source_explicit", False), ("manual", "source_explicit", False), ("narrative", "content_profiler", False), ("general_prose", "fallback", False), ("general_prose", "fallback", False)]
+
+
+def test_version_faults_and_warnings(spark):
+    row = lambda v, n, text, tokens=30, key=None, kind="prose", profile="regulation": (v, f"{v}{n}", n, text, tokens, key, kind, profile, "leaf")
+    data = [row("a", n, f"t{n}", 5) for n in range(10)] + [row("b", n, "same") for n in range(10)]
+    data += [row("c", 0, "第一条 甲\n第二条 乙", key="article:第一条"), row("c", 1, "第三条 丙", kind="numbered_clause"), row("c", 2, None), row("d", 0, "目录", profile="manual", kind="step"), row("e", 0, "x", profile=None)]
+    df = spark.createDataFrame(data, "document_version_id string, id string, ordinal int, text string, token_count int, hard_boundary_key string, unit_type string, content_profile string, chunk_level string")
+    assert {tuple(r) for r in chunking.version_faults(df).collect()} == {("a", "all_tiny", 10), ("b", "all_duplicates", 10), ("c", "several_articles", 1), ("c", "missing_article_key", 1)}
+    assert {tuple(r) for r in chunking.quality_warnings(df).collect()} == {("a", "content_profile_signal_weak"), ("b", "content_profile_signal_weak"), ("d", "possible_table_of_contents")}
+    assert chunking.version_faults(df.limit(0)).count() == chunking.quality_warnings(df.limit(0)).count() == 0
+
+
+def test_embeddings_lead_the_fold_only_where_all_units_have_one():
+    near = [chunking._Unit(n, t, "prose", (), 0, 200, "", None, t, v) for n, t, v in ((0, "a b", (1.0, 0.0)), (1, "c d", (1.0, 0.0)), (2, "e f", (0.0, 1.0)))]
+    assert chunking._similarity(near[:1], near[1]) == 1.0
+    assert abs(chunking._similarity(near[:2], near[2])) < 1e-9
+    mixed = [near[0], near[2]]
+    assert abs(chunking._similarity(mixed, near[2]) - (0.65 + 0.35 / math.sqrt(2))) < 1e-9
+    rows_ = [{"unit_no": n, "text": t, "kind": "prose", "heading_path": None, "page_number": None, "section_number": None, "hard_boundary_key": None, "retrieval_text": None, "embedding": v} for n, t, v in ((0, "a", [1.0]), (1, "b", None))]
+    assert all(u.vector is None for u in chunking._pieces(rows_, 700))
+
+
+def test_relations_of_propositions(spark):
+    schema = "g int, no int, subject string, predicate string, object string, modality string, conditions array<string>, exceptions array<string>, temporal string, authority string"
+    p = lambda no, subject="A", predicate="p", object_=None, modality="required", conditions=None, exceptions=None, temporal=None: (no, 0, subject, predicate, object_, modality, conditions, exceptions, temporal, None)
+    pairs = [
+        (p(1), p(1, " a ", "P"), "compatible"), (p(2), p(2, "B"), "different_scope"), (p(3), p(3, modality="prohibited"), "conflict"), (p(4, modality="permitted"), p(4, modality="prohibited"), "conflict"),
+        (p(5, conditions=["x"]), p(5, conditions=["y"], modality="prohibited"), "different_scope"), (p(6, conditions=["x"]), p(6, conditions=["X"], modality="prohibited"), "conflict"),
+        (p(7, temporal="start"), p(7, temporal="end"), "different_scope"), (p(8, exceptions=["e"]), p(8), "exception"), (p(9, None), p(9), "ambiguous"), (p(10, object_="o"), p(10, object_="q"), "different_scope"),
+    ]
+    df = spark.createDataFrame([x[:1] + (n,) + x[2:] for a, b, _ in pairs for n, x in enumerate((a, b))], schema)
+    got = {r["g"]: r["relation"] for r in evidence.proposition_relations(df, "g").collect()}
+    assert got == {a[0]: want for a, _, want in pairs}
+
+
+def test_guards(spark, tmp_path):
+    entries = spark.createDataFrame([("a", "阀门", None)], "id string, text string, section_number string")
+    lexical.write_lexical_index(entries, f"{tmp_path}/i", "v1")
+    assert lexical.read_lexical_index(spark, f"{tmp_path}/i", "v1").terms.count() == 1
+    with pytest.raises(ValueError):
+        lexical.read_lexical_index(spark, f"{tmp_path}/i", "v2")
+    with pytest.raises(ValueError):
+        catalog.rebuilt(entries.limit(0))
+    assert catalog.rebuilt(entries.limit(0), True).count() == 0
+    bad = dense.embed(entries, "id", "text", lambda texts: [[float("nan")]] * len(texts))
+    with pytest.raises(Exception, match="other vectors"):
+        bad.collect()
+    names = {"api_KEY": "x", "n" * 70 + "a": "1", "n" * 70 + "b": "v" * 300}
+    safe = spark.createDataFrame([(names,), (None,)], "m map<string,string>").select(evidence.safe_metadata(F.col("m")).alias("m")).collect()
+    assert [r["m"] for r in safe] == [{"n" * 64: "v" * 256}, {}] or [r["m"] for r in safe] == [{"n" * 64: "1"}, {}]
