@@ -40,6 +40,8 @@ _PROSE = re.compile(r"[，。；]|[a-zß-ÿ]{2}[,;.:](?:\s|$)|[,;]\s*$")
 # a code and its revision at the beginning of a line: the point of "Rev." ends no sentence
 _REVISION = re.compile(r"\s*" + CODE.pattern + r"\s*Rev\.\s*[A-Z](?=\s|$)")
 MARGIN, HYPHEN, MISREAD = "margin", "hyphen", "misread"
+#: Scanned texts that one task decodes, about.
+TASK_ROWS = 1500
 #: A known word keeps as rivals the words at most this much (log) below its own score.
 RIVAL = 7.0
 
@@ -425,8 +427,10 @@ def repair_scans(ocr_results: DataFrame, units: DataFrame) -> DataFrame:
     of them no misread can be known.
     """
     spark = units.sparkSession
-    # decoding is work for the CPU, not for the shuffle: keep all tasks busy however few bytes
-    rows = materialize(scanned_rows(ocr_results, units).repartition(shuffle_partitions(spark), "row_id"), "scanned-rows")
+    rows = materialize(scanned_rows(ocr_results, units), "scanned-rows")
+    # reading and decoding is work for the CPU, not for the shuffle: as many tasks as the
+    # rows need, however few bytes they are
+    rows = rows.repartition(max(shuffle_partitions(spark), rows.count() // TASK_ROWS), "row_id")
     model, channel = learn(ocr_results, units, rows)
     names = ["origin", "row_id", "repaired", "faults"]
     decode = _analyse(spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(channel), names)
